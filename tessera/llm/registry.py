@@ -1,16 +1,21 @@
 """The corpus operators' queries, and SQL for those that SQL can express."""
 
-from . import licences, mixing, records, secrets, sharding
+from . import decontamination, licences, mixing, records, secrets, sharding, topk, toxicity
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op2_secrets": secrets.op2_secrets,
     "op3_licences": licences.op3_licences,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_records": records.op7_records,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_decontamination": decontamination.op9_decontamination,
 }
 SQL = {
+    "op1_topk": topk.SQL,
     "op3_licences": licences.SQL,
     "op5_sharding": sharding.SQL,
     "op6_mixing": mixing.SQL,
+    "op9_decontamination": decontamination.SQL,
 }
