@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import range_bucket, tasks
 
-BLOCK = 32
+BLOCK = 8
 PERIOD = 256
 MOST_SOURCES = 4096
 
