@@ -40,7 +40,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "clown
 
 _INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x034F])
 _TABLE = str.maketrans(LOOKALIKES)
-_INSIDE = re.compile(r"(?<=[a-z])[0134578@$!+]+(?=[a-z])|(?<![a-z0-9@$!+])[0134578@$]+(?=[a-z]{2})|(?<=[a-z]{2})[01345789]+(?![a-z0-9])")
+_INSIDE = re.compile(r"(?<=[a-z])[0134578@$!+]+(?=[a-z])|(?<![a-z0-9@$!+])[0134578@$]+(?=[a-z][a-z0-9@$!+])|(?<=[a-z]{2})[01345789]+(?![a-z0-9])")
 _GAP = re.compile(r"[\W_]+")
 _SUSPECT = re.compile(r"[0-9@$!+]")
 _DIGIT_TABLE = str.maketrans(DIGITS)
