@@ -124,7 +124,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Lexicon:
     """A lexicon from (text, label) rows.
 
     An entry is kept when its documents' labels differ from the base rate by more than chance
-    among all entries would give, at nine in ten toxic at least. Of entries where one
+    among all entries would give, at three in four toxic at least. Of entries where one
     begins the other, the more telling stays, and of equal ones the longer.
     """
     plain = [(folded(t), y) for t, y in rows]
@@ -151,7 +151,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Lexicon:
         return 2 * out
 
     least = 2 * math.log(max(2, len(in1))) + 4
-    good = {e: t for e in in1 if in1[e] >= 9 * in0[e] and (t := telling(e)) >= least}
+    good = {e: t for e in in1 if in1[e] >= 3 * in0[e] and (t := telling(e)) >= least}
     weights: dict[str, float] = {}
     for e in sorted(good, key=lambda e: (-round(good[e], 9), -len(e), e)):
         if not any(e.startswith(k) or k.startswith(e) for k in weights):
