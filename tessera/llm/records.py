@@ -11,8 +11,12 @@ reader can fetch records in any order.
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
 import zlib
+from array import array
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,10 @@ from .common import chunks, fresh_path, tasks
 END_ID = 1
 _MASK = 0xA282EAD8
 _WIDE, _NULL = 1, 2
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words in each of the two generations that a worker remembers.
+REMEMBERED = 500_000
+#: Letters that have one composed form and one lower case, with at most one mark after them that no rule joins to them.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,|]?)")
 
 
 def masked(data: bytes) -> int:
@@ -74,21 +80,59 @@ class WordIds(dict):
         self.lib = Tokenizer.from_file(path)
         self.wide = self.lib.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.odd = set("\x1c\x1d\x1e\x1f\x85")
+        self.older: dict[str, bytes] = {}
+        # Byte-level names of bytes: printable ones name themselves, the others follow from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        names = [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+        self.letters = str.maketrans({chr(c): "".join(names[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)})
+        probes = [chr(c) * n + "s" * n for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)) for n in (1, 2)]
+        self.direct = all(self.word(w) == self.whole(w) == self.whole(w.upper() if w[0] not in "ßÿ" else w) for w in probes)
+        self.marks = {m: self.whole(m) for m in ".,|"}
+        self.odd = "\x1c\x1d\x1e\x1f\x85"
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def word(self, letters: str) -> bytes:
+        """A lower-case word's ids from the library's model, without the steps that leave it as it is."""
+        try:
+            ids = [t.id for t in self.lib.model.tokenize(letters if letters.isascii() else letters.translate(self.letters))]
+        except Exception:  # noqa: BLE001  a model of another kind
+            return b""
+        small = not self.wide and sys.byteorder == "little"
+        return array("H", ids).tobytes() if small else np.array(ids, self.kind).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers the words: from the older generation, from their letters and mark, or from the library."""
+        older, odd = self.older, []
+        for w in words:
+            if (code := older.get(w)) is not None:
+                self[w] = code
+            elif self.direct and (m := _PLAIN.fullmatch(w)):
+                letters, mark = m.groups()
+                letters = letters.lower()
+                code = self.get(letters) or older.get(letters) or self.word(letters)
+                self[letters] = code
+                self[w] = code + self.marks[mark] if mark else code
+            else:
+                odd.append(w)
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
+            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
+                self[w] = np.array(e.ids, self.kind).tobytes()
+
     def many(self, texts: list[str]) -> list[bytes]:
-        words = [None if "<|" in t or not self.odd.isdisjoint(t) else t.split() for t in texts]
+        words = [None if "<|" in t or any(c in t for c in self.odd) else t.split() for t in texts]
         if len(self) > REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        new = list(set().union(*[w for w in words if w]).difference(self))
-        kind = self.kind
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, kind).tobytes()
+        new: set[str] = set()
+        for w in words:
+            if w:
+                new.update(filterfalse(self.__contains__, w))
+        if new:
+            self.learn(new)
         return [self.whole(t) if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, words)]
 
 
@@ -122,10 +166,13 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
     spark = docs.sparkSession
 
     def write(batches):
+        import gc
         import uuid
 
         from pyspark import TaskContext
 
+        gc.disable()  # the words' codes hold no cycles, and there are many
+
         part = TaskContext.get().partitionId()
         ids = word_ids(tokenizer)
         end = np.array([end_id], ids.kind).tobytes()
@@ -141,6 +188,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
                 out.write(record)
                 rows.append((part, seq, doc_id, uri, at, len(record), (len(code) + len(end)) // len(end)))
                 at, seq = at + len(record), seq + 1
+        gc.enable()
         if out is not None:
             out.close()
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
