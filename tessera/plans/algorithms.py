@@ -71,6 +71,8 @@ _KRYLOV = {
 }
 #: Names whose preconditioners are refused rather than dropped.
 NO_PRECONDITIONER = ("KrylovJL_CRAIGMR", "KrylovJL_MINARES", "IterativeSolversJL_MINRES", "KrylovKitJL", "KrylovKitJL_CG", "KrylovKitJL_GMRES")
+#: Iterations that the first matrix's factor preconditions, for later matrices too.
+FROZEN_LU = ("MKLPardisoIterate", "PanuaPardisoIterate")
 LEFT_ONLY = ("KrylovJL_CG", "KrylovJL_MINRES", "ConjugateGradientsJL_CG")
 BATCHED_KRYLOV = ("KrylovJL_GMRES", "KrylovJL_MINRES", "KrylovJL", "SimpleGMRES")
 

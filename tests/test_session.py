@@ -245,3 +245,33 @@ def test_nystrom():
     p = precond.nystrom(lambda x: a @ x - mu * x, n, 120, mu)
     b = RNG.standard_normal(n)
     assert solve(LinearProblem(a, b), "cg", Pl=p, reltol=1e-8, maxiters=5000).iters < solve(LinearProblem(a, b), "cg", reltol=1e-8, maxiters=5000).iters
+
+
+def test_frozen_factor():
+    a, b = positive(), RNG.standard_normal(30)
+    s = Session(LinearProblem(a, b), "MKLPardisoIterate", reltol=1e-10)
+    assert s.solve().iters <= 2
+    s.A = a * 1.001
+    assert np.allclose(s.A @ s.solve().u, b, atol=1e-6)
+    assert s.prec_builds == 1
+
+
+def test_messages(caplog):
+    from tessera.plans.verbosity import Verbosity, interpret_blas_code
+
+    a, b = np.ones((2, 2)), np.ones(2)
+    with caplog.at_level("INFO", "tessera"):
+        solve(LinearProblem(a, b))
+        assert not caplog.records
+        solve(LinearProblem(a, b), verbose="all")
+        assert "pivoted QR" in caplog.text
+        caplog.clear()
+        solve(LinearProblem(a, b), verbose=Verbosity("all", {"error_control": 0}))
+        assert not caplog.records
+    with pytest.raises(ValueError):
+        Verbosity("loud")
+    with pytest.raises(ValueError):
+        Verbosity(changes={"nothing": 1})
+    assert interpret_blas_code("dgetrf", 0)[0] == "success"
+    assert interpret_blas_code("dgetrf", -3)[0] == "invalid_argument"
+    assert interpret_blas_code("dpotrf", 2) == ("not_positive_definite", "the leading minor of order 2 is not positive definite")
