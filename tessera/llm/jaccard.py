@@ -33,6 +33,8 @@ DEPTH = 3
 RECALL = 0.99999
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILAR**DEPTH))
 SMALL = 96
+#: Sets in one block of a bucket that is still large at the last split; blocks meet pairwise.
+LARGE = 4_096
 #: Of POSITIONS, as many must agree: over seven standard deviations below what SIMILAR gives.
 AGREE = int(POSITIONS * SIMILAR - 7 * math.sqrt(POSITIONS * SIMILAR * (1 - SIMILAR))) + 1
 #: Sets and 5-grams in one block of an exact comparison.
@@ -153,8 +155,23 @@ def _forest(close: np.ndarray) -> list[tuple[int, int]]:
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
+def _spread(tokens: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the rows that agree on AGREE tokens. Rows once reached are compared no more, so a
+    group of near copies costs one comparison for each row."""
+    left, out = np.arange(len(tokens)), []
+    while len(left) > 1:
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            near = (tokens[left] == tokens[x]).sum(axis=1) >= AGREE
+            found, left = left[near], left[~near]
+            out += [(x, int(y)) for y in found]
+            todo += found.tolist()
+    return out
+
+
 def _compare(batches):
-    """Links within a bucket; in a large one rows are of side 0 or 1 of two blocks, and links go between blocks too."""
+    """Links within a bucket, or within two blocks of a large one."""
     out: list[tuple[bytes, bytes]] = []
     for _, pieces in _groups(batches, 3):
         names = [x for p in pieces for x in p[0].to_pylist()]
@@ -165,8 +182,7 @@ def _compare(batches):
             if (tokens[0] == tokens[1]).sum() >= AGREE:
                 out.append((names[0], names[1]))
         else:
-            close = np.stack([(tokens == t).sum(axis=1) for t in tokens]) >= AGREE
-            out += [(names[i], names[j]) for i, j in _forest(close)]
+            out += [(names[i], names[j]) for i, j in _spread(tokens)]
         if len(out) > 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], schema=_LINKS)
             out = []
@@ -194,7 +210,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
         found = done if found is None else found.unionByName(done)
         if d < DEPTH - 1:
             level = level.where(F.col("c") > SMALL).drop("c").withColumn("bucket", F.xxhash64("bucket", F.lit(d), f"t{d + 1}"))
-    found = _blocks(found, F.ceil(F.col("c") / F.lit(SMALL)))
+    found = _blocks(found, F.ceil(F.col("c") / F.lit(LARGE)))
     bytes_of = F.concat(*[F.expr(f"substring(tokens, {4 * i + 1}, 1)") for i in range(POSITIONS)])
     rows = found.join(sets.select("k", bytes_of.alias("t")), "k").select("bucket", "i", "j", "k", "t")
     rows = rows.repartition(tasks(sets.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "k")
