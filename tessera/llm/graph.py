@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     for each link and joins on the node, whose links Spark can split; it is saved, so that
     the plan doesn't grow. Links to oneself are allowed; no links give no rows.
     """
-    edges = saved(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    links = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    edges = links.where("a <> b")
     nodes = links.select(F.col("a").alias("k")).union(links.select(F.col("b").alias("k"))).distinct()
     for _ in range(MOST_ROUNDS):
         # Large star: each node's larger neighbours are linked to its least neighbour or itself.
