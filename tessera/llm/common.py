@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes in one batch of rows for Python, but for one longer row.
+BATCH_BYTES = str(4 << 20)
+
 # --------------------------------------------------------------------------- storage
 
 
@@ -41,6 +44,13 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding by bytes the batches that its session sends to Python: rows hold texts of any length."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(name, BATCH_BYTES)
+    return df
+
+
 # --------------------------------------------------------------------------- words
 
 # A word is a run of ASCII digits, ASCII letters and code points above U+007F; A-Z count as a-z.

@@ -8,10 +8,13 @@ something, at growing lengths:
 1. length 100, at sampled positions only: of the 101 positions from which 100 bytes stay within a
    200-byte window the one with the least name is the window's anchor, so equal windows have
    anchors at the same place. An anchor whose name is unique is done: its windows are unique.
-2. all windows of an anchor together (100 to 300 bytes): where these strings are equal
+2. all windows of an anchor together (200 to 300 bytes): where these strings are equal
    elsewhere, every window of the anchor is repeated, and the position is done.
-3. length 200, the threshold, for each window of the anchors that are left: the pair of names at
-   offsets 0 and 100 is counted.
+3. length 176, for each 25 places of an anchor in its windows: the bytes that these windows share. Where
+   they are unique, so are the windows; where all of the windows together are equal elsewhere,
+   they are repeated.
+4. length 200, the threshold, for each window that is left: the pair of names at offsets 0
+   and 100 is counted.
 
 Documents with equal texts are one for all this; they repeat each other whole.
 """
@@ -25,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, pair_name, saved, tasks, utf8
+from .common import chunks, pair_name, saved, small_batches, tasks, utf8
 
 LENGTH = 200
 HALF = LENGTH // 2
+#: Places of an anchor that are decided together, and the bytes that their windows share.
+STEP = 25
+CORE = LENGTH - STEP + 1
 #: Bytes of texts handled together; a longer text is handled alone.
 TOGETHER = 1 << 18
 
-_ANCHOR = "name long, whole long, key long, m int"
-_ANCHOR_ARROW = pa.schema([("name", pa.int64()), ("whole", pa.int64()), ("key", pa.int64()), ("m", pa.int32())])
 ONE, MANY, HELPER = 1, 2, 3
 
 
@@ -74,10 +78,27 @@ class Windows:
         #: Of each anchor: its text, the first and last window and the names.
         self.first, self.last, place = at[head], at[tail], anchor[head]
         self.owner = owner[self.first]
+        self.offset = place - self.first
         self.name = self.half[place]
         ends = pair_name(self.windows(self.first), self.windows(self.last))
         self.whole = pair_name(ends, ((self.last - self.first) << 32 | (place - self.first)).astype(np.uint64))
 
+    def parts(self, anchors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each STEP places of some anchors: the anchor, the first and last window, and the names of shared and of all bytes."""
+        place = self.first[anchors] + self.offset[anchors]
+        low, high = (place - self.last[anchors]) // STEP, (place - self.first[anchors]) // STEP
+        count = high - low + 1
+        which = np.repeat(np.arange(len(anchors)), count)
+        b = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + low[which]
+        place, own = place[which], anchors[which]
+        first = np.maximum(self.first[own], place - STEP * b - STEP + 1)
+        last = np.minimum(self.last[own], place - STEP * b)
+        core = pair_name(self.half[place - STEP * b], self.half[place - STEP * b + CORE - HALF])
+        core = pair_name(core, b.astype(np.uint64))
+        ends = pair_name(self.windows(first), self.windows(last))
+        every = pair_name(ends, ((last - first) << 32 | (place - first)).astype(np.uint64) + np.uint64(1 << 63))
+        return own, first, last, core, every
+
     def windows(self, at: np.ndarray) -> np.ndarray:
         return pair_name(self.half[at], self.half[at + HALF])
 
@@ -86,57 +107,80 @@ def _texts(part: dict) -> list[bytes]:
     return [utf8(t) for t in part["text"]]
 
 
+_NAMED = "name long, whole long, key long, text_h long, m int"
+
+
+def _named(name, whole, key, text_h, m) -> pa.RecordBatch:
+    kinds = [np.int64] * 4 + [np.int32]
+    return pa.RecordBatch.from_arrays([pa.array(x.view(k) if x.dtype == np.uint64 else x.astype(k)) for x, k in zip((name, whole, key, text_h, m), kinds)], [x.split()[0] for x in _NAMED.split(", ")])
+
+
 def _anchors(batches):
+    """A row for each anchor's name and its windows' name in a text, with how often they stand there."""
     for part in chunks(batches, TOGETHER):
         w = Windows(_texts(part))
         if w.empty:
             continue
-        key = np.array(part["key"], np.int64)[w.owner]
-        order = np.lexsort((w.whole, w.name, key))
-        a, b, c = w.name[order], w.whole[order], key[order]
+        key, text_h = (np.array(part[c], np.int64)[w.owner] for c in ("key", "text_h"))
+        order = np.lexsort((w.whole, w.name, w.owner))
+        a, b, c = w.name[order], w.whole[order], w.owner[order]
         head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
-        m = np.diff(np.append(head, len(a))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(a[head].view(np.int64)), pa.array(b[head].view(np.int64)), pa.array(c[head]), pa.array(m)], schema=_ANCHOR_ARROW)
-
-
-def _lookup(part: dict, w: Windows) -> np.ndarray:
-    """What is known of each anchor: ONE, MANY, HELPER, or 0."""
-    out = np.zeros(len(w.first), np.int8)
-    lo, hi = np.searchsorted(w.owner, [np.arange(len(part["text"])), np.arange(len(part["text"])) + 1])
-    for i, found in enumerate(part["found"]):
-        if found and lo[i] < hi[i]:
-            whole = np.array([f["whole"] for f in found], np.int64).view(np.uint64)
-            kind = np.array([f["kind"] for f in found], np.int8)
+        yield _named(a[head], b[head], key[order][head], text_h[order][head], np.diff(np.append(head, len(a))))
+
+
+def _texts(part: dict) -> list[bytes]:
+    return [utf8(t) for t in part["text"]]
+
+
+def _lookup(found: list, owner: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """What is known of each name of a text, ONE, MANY or HELPER, or else 0. ``owner`` ascends."""
+    out = np.zeros(len(names), np.int8)
+    lo, hi = np.searchsorted(owner, [np.arange(len(found)), np.arange(len(found)) + 1])
+    for i, known in enumerate(found):
+        if known and lo[i] < hi[i]:
+            whole = np.array([f["whole"] for f in known], np.int64).view(np.uint64)
+            kind = np.array([f["kind"] for f in known], np.int8)
             order = np.argsort(whole)
             whole, kind = whole[order], kind[order]
-            own = w.whole[lo[i] : hi[i]]
+            own = names[lo[i] : hi[i]]
             at = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
             out[lo[i] : hi[i]] = np.where(whole[at] == own, kind[at], 0)
     return out
 
 
+def _cores(batches):
+    """A row for each STEP places of the anchors that are left, and of those that may help them, which count twice."""
+    for part in chunks(batches, TOGETHER):
+        w = Windows(_texts(part))
+        if w.empty:
+            continue
+        kind = _lookup(part["found"], w.owner, w.whole)
+        left = np.flatnonzero((kind == ONE) | (kind == HELPER))
+        if len(left):
+            own, _, _, core, every = w.parts(left)
+            key = np.array(part["key"], np.int64)[w.owner[own]]
+            yield _named(core, every, key, key, np.where(kind[own] == ONE, 1, 2))
+
+
 _WINDOW = "a long, b long, key long, at int, m int"
-_WINDOW_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("m", pa.int32())])
 
 
 def _windows(batches):
-    """A row for each window of the anchors that are left, and of those that may help them, which count twice."""
+    """A row for each window of the places that are left, and of those that may help them, which count twice."""
     for part in chunks(batches, TOGETHER):
         w = Windows(_texts(part))
         if w.empty:
             continue
-        kind = _lookup(part, w)
-        own = np.flatnonzero((kind == ONE) | (kind == HELPER))
-        if not len(own):
+        own, first, last, _, every = w.parts(np.arange(len(w.first)))
+        kind = _lookup(part["found"], w.owner[own], every)
+        left = np.flatnonzero((kind == ONE) | (kind == HELPER))
+        if not len(left):
             continue
-        count = w.last[own] - w.first[own] + 1
-        at = np.repeat(w.first[own] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        kinds, owner = np.repeat(kind[own], count), np.repeat(w.owner[own], count)
-        place = np.where(kinds == ONE, at - w.starts[owner], -1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(w.half[at].view(np.int64)), pa.array(w.half[at + HALF].view(np.int64)), pa.array(np.array(part["key"], np.int64)[owner]), pa.array(place), pa.array(np.where(kinds == ONE, 1, 2).astype(np.int32))],
-            schema=_WINDOW_ARROW,
-        )
+        count = last[left] - first[left] + 1
+        at = np.repeat(first[left] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        kinds, owner = np.repeat(kind[left], count), np.repeat(w.owner[own[left]], count)
+        columns = [w.half[at].view(np.int64), w.half[at + HALF].view(np.int64), np.array(part["key"], np.int64)[owner], np.where(kinds == ONE, at - w.starts[owner], -1).astype(np.int32), np.where(kinds == ONE, 1, 2).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _WINDOW.split(", ")])
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
@@ -148,10 +192,12 @@ def _cut(batches):
         texts = _texts(part)
         w = Windows(texts)
         starts: list[list[np.ndarray]] = [[] for _ in texts]
-        if not w.empty:
-            for x in np.flatnonzero(_lookup(part, w) == MANY):
-                o = w.owner[x]
-                starts[o].append(np.arange(w.first[x], w.last[x] + 1) - w.starts[o])
+        if not w.empty and any(part["found"]):
+            own, first, last, _, every = w.parts(np.arange(len(w.first)))
+            ranges = [(w.owner, w.first, w.last, w.whole), (w.owner[own], first, last, every)]
+            for owner, low, high, names in ranges:
+                for x in np.flatnonzero(_lookup(part["found"], owner, names) == MANY):
+                    starts[owner[x]].append(np.arange(low[x], high[x] + 1) - w.starts[owner[x]])
         rows = []
         for i, raw in enumerate(texts):
             n = len(raw)
@@ -187,28 +233,44 @@ def repeats(docs: DataFrame) -> DataFrame:
     Names are 64 bits for anchors and 128 for windows, ``key`` 64 for id and text: chances of 2 ** -64
     a pair, against which anchors only choose what is counted exactly after them.
     """
-    n = tasks(docs.sparkSession)
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    n = tasks(small_batches(docs).sparkSession)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_h"), "doc_id", "text")
     digest = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("d"))
     same = digest.groupBy("d").agg(F.count("*").alias("copies"), F.min("key").alias("first")).where("copies > 1")
     copied = saved(digest.join(same, "d").select("key", F.least("copies", F.lit(2)).cast("int").alias("copies"), (F.col("key") == F.col("first")).alias("own")).distinct(), "copied")
-    # One exchange of the texts, by key; what comes after joins on it there.
-    dealt = rows.repartition(n, "key").join(copied, "key", "left").select("key", "doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("own", F.lit(True)).alias("own"))
-    own = dealt.where("own").select("key", "text")
-    anchors = own.mapInArrow(_anchors, _ANCHOR)
-    shared = anchors.groupBy("name").agg(F.sum("m").alias("m")).where("m > 1").select("name")
-    left = saved(anchors.join(shared, "name"), "anchors")
-    whole = left.groupBy("name", "whole").agg(F.sum("m").alias("m"), F.min("key").alias("first"))
-    groups = whole.groupBy("name").agg((F.min("m") == 1).alias("open"))
-    state = whole.join(groups, "name").where("m > 1 or open")
-    kinds = left.drop("m").join(state, ["name", "whole"])
-    many = kinds.where("m > 1").select("key", "whole", F.lit(MANY).alias("kind"))
-    rest = kinds.where("m = 1 or key = first").where("open").select("key", "whole", F.when(F.col("m") == 1, ONE).otherwise(HELPER).alias("kind"))
-    gathered = lambda df: df.groupBy("key").agg(F.collect_list(F.struct("whole", "kind")).alias("found"))  # noqa: E731  a text's own
-    windows = saved(own.join(gathered(rest), "key").select("key", "text", "found").mapInArrow(_windows, _WINDOW), "windows")
+    # A name is shared if it stands twice in a text, which the windows around it may tell, or in two texts that differ.
+    anchors = rows.mapInArrow(_anchors, _NAMED)
+    shared = anchors.groupBy("name").agg(F.max("m").alias("m"), F.min("text_h").alias("x"), F.max("text_h").alias("y"), F.min("whole").alias("v"), F.max("whole").alias("w")).where("m > 1 or x <> y or v <> w").select("name")
+    left = anchors.select("name", "whole", "key", "m").join(shared, "name")
+    left = saved(left.join(copied.where("not own").select("key"), "key", "left_anti"), "anchors")
+    many, rest = _decided(left)
+    many, rest = saved(many, "whole"), saved(rest, "whole")
+    # The last plan reads one exchange of the texts twice: for the windows and for the cuts.
+    dealt = rows.select("key", "doc_id", "text").repartition(n, "key")
+    told = lambda df: dealt.join(_gathered(df), "key").select("key", "doc_id", "text", "found")
+    some, open_ = _decided(saved(told(rest).mapInArrow(_cores, _NAMED).drop("text_h"), "cores"))
+    some, open_ = saved(some, "some"), saved(open_, "open")
+    windows = told(open_).mapInArrow(_windows, _WINDOW)
     again = windows.groupBy("a", "b").agg(F.sum("m").alias("n")).where("n > 1").select("a", "b")
     places = windows.where("at >= 0").select("a", "b", "key", "at").join(again, ["a", "b"]).groupBy("key").agg(F.collect_list("at").alias("places"))
-    return dealt.join(gathered(many), "key", "left").join(places, "key", "left").select("doc_id", "text", "copies", "found", "places").mapInArrow(_cut, _RESULT)
+    known = _gathered(many.unionByName(some))
+    full = dealt.join(known, "key", "left").join(places, "key", "left").join(copied.select("key", "copies"), "key", "left")
+    return full.select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "found", "places").mapInArrow(_cut, _RESULT)
+
+
+def _gathered(known: DataFrame) -> DataFrame:
+    """What is known of each text, in one row: no more than the text has anchors."""
+    return known.groupBy("key").agg(F.collect_list(F.struct("whole", "kind")).alias("found"))
+
+
+def _decided(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, whole, kind) of those that are repeated whole, and of those that stay open or may help open ones."""
+    whole = left.groupBy("name", "whole").agg(F.sum("m").alias("n"), F.min("key").alias("first"))
+    groups = whole.groupBy("name").agg((F.min("n") == 1).alias("open"), F.sum("n").alias("total")).where("total > 1").drop("total")
+    kinds = left.select("name", "whole", "key").join(whole.join(groups, "name").where("n > 1 or open"), ["name", "whole"])
+    many = kinds.where("n > 1").select("key", "whole", F.lit(MANY).alias("kind")).distinct()
+    rest = kinds.where("open and (n = 1 or key = first)").select("key", "whole", F.when(F.col("n") == 1, ONE).otherwise(HELPER).alias("kind")).distinct()
+    return many, rest
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
