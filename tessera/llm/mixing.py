@@ -1,18 +1,24 @@
-"""Sources interleaved to target weights by Pfair scheduling, by DataFrame functions only.
+"""Sources interleaved to target weights by Pfair scheduling.
 
-Each source's documents form blocks of ``BLOCK`` in order. With a share n of L slots, block j
-(from 0) of a source is released at floor(j L / n) and is due at ceil((j + 1) L / n). In each slot
-the released block with the earliest deadline runs. As the shares add up to L, every block
+Each source's documents form blocks of ``BLOCK`` in order. With a weight w of W in all, block j
+(from 0) of a source is released at floor(j W / w) and is due at ceil((j + 1) W / w). In each slot
+the released block with the earliest deadline runs. As the weights add up to W, every block
 meets its deadline, so at any slot a source has run less than one block more or less than
-its share. The schedule repeats after L slots; only one period is computed, as a fold.
+its target. The schedule repeats after W slots, with the weights' common divisor taken out. It is
+computed on the driver, for one period or until the last block has run, whichever is sooner.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import range_bucket, tasks
+from .common import range_bucket, saved, tasks
 
 BLOCK = 8
 PERIOD = 256
@@ -35,36 +41,58 @@ def shares(counts: DataFrame, period: int) -> DataFrame:
     )
 
 
-def schedule(share: DataFrame, period: int) -> DataFrame:
-    """(src, n, j, slot): the slot of block j < n of each source in one period."""
-    one = share.groupBy().agg(F.sort_array(F.collect_list(F.struct("src", "n"))).alias("s"))
-    fold = f"""aggregate(
-      sequence(0, {period - 1}),
-      named_struct('done', transform(s, x -> 0L), 'out', cast(array() as array<struct<slot:int,i:int,j:bigint>>)),
-      (a, t) -> transform(array(array_min(transform(filter(sequence(0, size(s) - 1),
-            i -> a.done[i] < s[i].n and (a.done[i] * {period}) div s[i].n <= t),
-            i -> named_struct('due', ((a.done[i] + 1) * {period} + s[i].n - 1) div s[i].n, 'i', i)))),
-          p -> named_struct('done', transform(a.done, (d, k) -> d + if(k = p.i, 1L, 0L)),
-                            'out', concat(a.out, array(named_struct('slot', t, 'i', p.i, 'j', a.done[p.i])))))[0],
-      a -> a.out)"""
-    return one.where(F.size("s") > 0).select("s", F.explode(F.expr(fold)).alias("o")).select(
-        F.expr("s[o.i].src").alias("src"), F.expr("s[o.i].n").alias("n"), F.col("o.j").alias("j"), F.col("o.slot").cast("long").alias("slot")
-    )
-
-
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def schedule(weights: list[int], blocks: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The period, and source, j and slot of the blocks of one: those of ``blocks`` blocks a source that run in it."""
+    if min(weights, default=1) < 1:
+        raise ValueError("a source's weight is 1 at least")
+    common = math.gcd(*weights)
+    weights = [w // common for w in weights]
+    period = sum(weights)
+    end = min(period, max((-(-b * period // w) for w, b in zip(weights, blocks)), default=0))
+    sources, js, slots = (np.zeros(sum(min(b, w) for w, b in zip(weights, blocks)), np.int64) for _ in range(3))
+    waiting = [(0, i, 0) for i in range(len(weights))]  # by release
+    ready: list[tuple[int, int, int]] = []  # by deadline
+    n = 0
+    for t in range(end):
+        while waiting and waiting[0][0] <= t:
+            _, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * period // weights[i]), i, j))
+        _, i, j = heapq.heappop(ready)
+        if j < blocks[i]:
+            sources[n], js[n], slots[n] = i, j, t
+            n += 1
+        heapq.heappush(waiting, ((j + 1) * period // weights[i], i, j + 1))
+    return period, sources, js, slots
+
+
+def _roots(counts: DataFrame) -> DataFrame:
+    return counts.select("src", F.floor(F.sqrt(F.col("c").cast("double")) * 1000).cast("long").alias("w"))
+
+
+def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: int = BLOCK, period: int | None = None) -> DataFrame:
     """``docs`` with ``block`` (long), ``slot`` (long: when that block runs) and ``mix_at`` (long).
 
     All rows stay; ``mix_at`` is unique and sorts the table into the mix. Weights are
-    integers by source; without them a source weighs the thousandfold root of its rows.
+    integers from 1 by source; without them a source weighs the thousandfold root of its rows.
     Sources without a weight get 1; a null source is a source. When a source runs out, the
     others go on in their slots. Within a source the order is ascending doc_id, nulls
     first, then the text's hash; repeated rows follow one another. Columns with the names
     of the results are replaced. An empty table gives an empty result.
 
+    The weights are kept exactly, so the period follows from them; ``period`` is accepted and has no effect.
     A source's rows are numbered inside ranges of doc_id, so that no task gets a whole source.
     The number of sources must stay under ``MOST_SOURCES``, which is checked.
     """
+    if weights is None:
+        return _mixed(docs, _roots, block)
+    named = {("n" if k is None else f"s:{k}"): int(v) for k, v in weights.items()}
+    given = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[F.col("src")] if named else F.lit(None)
+    return _mixed(docs, lambda counts: counts.select("src", F.coalesce(given, F.lit(1)).cast("long").alias("w")), block)
+
+
+def _mixed(docs: DataFrame, law, block: int) -> DataFrame:
+    """``mix`` with weights ``w`` by ``src`` from ``law``, a function of the rows ``c`` by ``src``."""
+    spark = docs.sparkSession
     own = ("block", "slot", "mix_at")
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("_row"),
@@ -72,24 +100,21 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: in
         F.col("doc_id").alias("_id"),
         (F.xxhash64("text") if "text" in docs.columns else F.lit(0)).alias("_h"),
     )
-    packed = packed.withColumn("_b", range_bucket(packed, "_id", min(2 * tasks(docs.sparkSession), 1024)))
+    packed = packed.withColumn("_b", range_bucket(packed, "_id", min(2 * tasks(spark), 1024)))
     per = packed.groupBy("src", "_b").agg(F.count("*").alias("_c"))
     counts = per.groupBy("src").agg(F.sum("_c").alias("c"))
-    n_sources = counts.count()
-    if n_sources > MOST_SOURCES:
-        raise ValueError(f"{n_sources} sources; the schedule takes {MOST_SOURCES} at most")
-    while period < 2 * n_sources:
-        period *= 2
-    if weights is None:
-        weighed = counts.select("src", F.floor(F.sqrt(F.col("c").cast("double")) * 1000).cast("long").alias("w"))
-    else:
-        named = {("n" if k is None else f"s:{k}"): int(v) for k, v in weights.items()}
-        weighed = counts.select("src", F.coalesce(F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[F.col("src")] if named else F.lit(None), F.lit(1)).cast("long").alias("w"))
-    table = F.broadcast(schedule(shares(weighed, period), period))  # ``period`` rows
+    sources = counts.join(law(counts), "src").orderBy("src").collect()
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"{len(sources)} sources; the schedule takes {MOST_SOURCES} at most")
+    ws, names = [r["w"] for r in sources], pa.array([r["src"] for r in sources], pa.string())
+    period, at, js, slots = schedule(ws, [-(-r["c"] // block) for r in sources])
+    share = pa.array(np.array(ws, np.int64) // (math.gcd(*ws) or 1))
+    table = pa.table({"src": names.take(pa.array(at)), "j": js, "slot": slots})
+    table = saved(spark.createDataFrame(table), "slots")  # the slots of one period at most: a part of the blocks
+    shares_of = F.broadcast(spark.createDataFrame(pa.table({"src": names, "n": share})))
     before = Window.partitionBy("src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.select("src", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"))
     inside = Window.partitionBy("src", "_b").orderBy(F.col("_id").asc_nulls_first(), "_h")
-    shares_of = F.broadcast(table.select("src", "n").distinct())
     return (
         packed.withColumn("_i", F.row_number().over(inside).cast("long") - 1)
         .join(starts, ["src", "_b"])
@@ -97,7 +122,7 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: in
         .withColumn("_at", F.col("_c0") + F.col("_i"))
         .withColumn("_block", F.expr(f"_at div {block}"))
         .withColumn("j", F.col("_block") % F.col("n"))
-        .join(table.drop("n"), ["src", "j"])
+        .join(table, ["src", "j"])
         .withColumn("_slot", F.col("slot") + F.expr("_block div n") * period)
         .select("_row.*", F.col("_block").alias("block"), F.col("_slot").alias("slot"), (F.col("_slot") * block + F.col("_at") % block).alias("mix_at"))
     )
@@ -110,8 +135,16 @@ def in_mix_order(docs: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix to weights in whole slots of ``PERIOD``, as its SQL has it; ``mix`` keeps the weights exactly."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return mix(docs)
+
+    def rounded(counts: DataFrame) -> DataFrame:
+        period, n_sources = PERIOD, counts.count()
+        while period < 2 * n_sources:
+            period *= 2
+        return shares(_roots(counts), period).withColumnRenamed("n", "w")
+
+    return _mixed(docs, rounded, BLOCK)
 
 
 SQL = f"""

@@ -224,6 +224,29 @@ def test_mix_stays_within_a_block(spark):
     assert rows == again
 
 
+@pytest.mark.parametrize("weights", [{"a": 4, "b": 2, "c": 1, None: 1}, {"a": 999, "b": 1}, {"a": 35, "b": 3, "c": 2, None: 7}])
+def test_mix_keeps_the_given_weights(spark, weights):
+    total, size = sum(weights.values()), 60
+    sources = [k for k, w in weights.items() for _ in range(-(-size * 20 * w // total))]
+    rows = mixing.mix(docs_of(spark, ["x"] * len(sources), sources), weights, block=1, period=16).collect()
+    assert len({r["mix_at"] for r in rows}) == len(rows)
+    for s, w in weights.items():
+        slots = sorted(r["slot"] for r in rows if r["source"] == s)
+        assert all(j * total // w <= t < -(-(j + 1) * total // w) for j, t in enumerate(slots))
+
+
+def test_schedule_stays_within_a_block_of_any_weights():
+    rng = random.Random(4)
+    for _ in range(60):
+        weights = [rng.choice([1, 2, 30, rng.randint(1, 400)]) for _ in range(rng.randint(1, 12))]
+        period, at, js, slots = mixing.schedule(weights, [10**6] * len(weights))
+        assert period == sum(weights) // np.gcd.reduce(weights)
+        assert slots.tolist() == list(range(period))
+        for i, w in enumerate(weights):
+            ran = np.cumsum(at == i)
+            assert (np.abs(ran * sum(weights) - (np.arange(period) + 1) * w) < sum(weights)).all()
+
+
 def test_records_equal_the_library(spark, small_tables):
     P = pytest.importorskip("public_tokenizers")
     lib = records.word_ids(P.path("word_bpe_49k.json")).lib
