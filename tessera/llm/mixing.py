@@ -22,7 +22,6 @@ from .common import range_bucket, saved, tasks
 
 BLOCK = 8
 PERIOD = 256
-MOST_SOURCES = 4096
 
 
 def shares(counts: DataFrame, period: int) -> DataFrame:
@@ -81,7 +80,7 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: in
 
     The weights are kept exactly, so the period follows from them; ``period`` is accepted and has no effect.
     A source's rows are numbered inside ranges of doc_id, so that no task gets a whole source.
-    The number of sources must stay under ``MOST_SOURCES``, which is checked.
+    Any number of sources is taken; their names, weights and counts are held on the driver.
     """
     if weights is None:
         return _mixed(docs, _roots, block)
@@ -104,21 +103,18 @@ def _mixed(docs: DataFrame, law, block: int) -> DataFrame:
     per = packed.groupBy("src", "_b").agg(F.count("*").alias("_c"))
     counts = per.groupBy("src").agg(F.sum("_c").alias("c"))
     sources = counts.join(law(counts), "src").orderBy("src").collect()
-    if len(sources) > MOST_SOURCES:
-        raise ValueError(f"{len(sources)} sources; the schedule takes {MOST_SOURCES} at most")
     ws, names = [r["w"] for r in sources], pa.array([r["src"] for r in sources], pa.string())
     period, at, js, slots = schedule(ws, [-(-r["c"] // block) for r in sources])
     share = pa.array(np.array(ws, np.int64) // (math.gcd(*ws) or 1))
     table = pa.table({"src": names.take(pa.array(at)), "j": js, "slot": slots})
     table = saved(spark.createDataFrame(table), "slots")  # the slots of one period at most: a part of the blocks
-    shares_of = F.broadcast(spark.createDataFrame(pa.table({"src": names, "n": share})))
+    shares_of = spark.createDataFrame(pa.table({"src": names, "n": share}))
     before = Window.partitionBy("src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per.select("src", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"))
+    starts = per.select("src", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0")).join(shares_of, "src")
     inside = Window.partitionBy("src", "_b").orderBy(F.col("_id").asc_nulls_first(), "_h")
     return (
         packed.withColumn("_i", F.row_number().over(inside).cast("long") - 1)
         .join(starts, ["src", "_b"])
-        .join(shares_of, "src")
         .withColumn("_at", F.col("_c0") + F.col("_i"))
         .withColumn("_block", F.expr(f"_at div {block}"))
         .withColumn("j", F.col("_block") % F.col("n"))

@@ -235,6 +235,11 @@ def test_mix_keeps_the_given_weights(spark, weights):
         assert all(j * total // w <= t < -(-(j + 1) * total // w) for j, t in enumerate(slots))
 
 
+def test_mix_takes_any_number_of_sources(spark):
+    rows = mixing.mix(spark.range(5000).selectExpr("id AS doc_id", "concat('site', id % 4500) AS source")).collect()
+    assert len(rows) == len({r["mix_at"] for r in rows}) == 5000
+
+
 def test_schedule_stays_within_a_block_of_any_weights():
     rng = random.Random(4)
     for _ in range(60):
