@@ -22,6 +22,7 @@ from .common import range_bucket, saved, tasks
 
 BLOCK = 8
 PERIOD = 256
+OWN = ("block", "slot", "mix_at")
 
 
 def shares(counts: DataFrame, period: int) -> DataFrame:
@@ -82,19 +83,19 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: in
     A source's rows are numbered inside ranges of doc_id, so that no task gets a whole source.
     Any number of sources is taken; their names, weights and counts are held on the driver.
     """
+    docs = docs.drop(*OWN)
     if weights is None:
-        return _mixed(docs, _roots, block)
+        return _mixed(docs, _roots, block).select("_row.*", *OWN)
     named = {("n" if k is None else f"s:{k}"): int(v) for k, v in weights.items()}
     given = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[F.col("src")] if named else F.lit(None)
-    return _mixed(docs, lambda counts: counts.select("src", F.coalesce(given, F.lit(1)).cast("long").alias("w")), block)
+    return _mixed(docs, lambda counts: counts.select("src", F.coalesce(given, F.lit(1)).cast("long").alias("w")), block).select("_row.*", *OWN)
 
 
 def _mixed(docs: DataFrame, law, block: int) -> DataFrame:
-    """``mix`` with weights ``w`` by ``src`` from ``law``, a function of the rows ``c`` by ``src``."""
+    """``_row``, a struct of all columns of ``docs``, and those of ``OWN``, with weights ``w`` by ``src`` from ``law``, a function of the rows ``c`` by ``src``."""
     spark = docs.sparkSession
-    own = ("block", "slot", "mix_at")
     packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s:"), F.col("source").cast("string"))).alias("src"),
         F.col("doc_id").alias("_id"),
         (F.xxhash64("text") if "text" in docs.columns else F.lit(0)).alias("_h"),
@@ -120,14 +121,14 @@ def _mixed(docs: DataFrame, law, block: int) -> DataFrame:
         .withColumn("j", F.col("_block") % F.col("n"))
         .join(table, ["src", "j"])
         .withColumn("_slot", F.col("slot") + F.expr("_block div n") * period)
-        .select("_row.*", F.col("_block").alias("block"), F.col("_slot").alias("slot"), (F.col("_slot") * block + F.col("_at") % block).alias("mix_at"))
+        .select("_row", F.col("_block").alias("block"), F.col("_slot").alias("slot"), (F.col("_slot") * block + F.col("_at") % block).alias("mix_at"))
     )
 
 
 def in_mix_order(docs: DataFrame) -> DataFrame:
     """``docs`` range-partitioned and sorted into the mix, with its own columns."""
     n = tasks(docs.sparkSession)
-    return mix(docs).repartitionByRange(n, "mix_at").sortWithinPartitions("mix_at").select(*[f"`{c}`" for c in docs.columns])
+    return _mixed(docs, _roots, BLOCK).repartitionByRange(n, "mix_at").sortWithinPartitions("mix_at").select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             period *= 2
         return shares(_roots(counts), period).withColumnRenamed("n", "w")
 
-    return _mixed(docs, rounded, BLOCK)
+    return _mixed(docs, rounded, BLOCK).select("_row.*", *OWN)
 
 
 SQL = f"""

@@ -240,6 +240,11 @@ def test_mix_takes_any_number_of_sources(spark):
     assert len(rows) == len({r["mix_at"] for r in rows}) == 5000
 
 
+def test_mix_order_keeps_columns_of_its_own_names(spark):
+    docs = docs_of(spark, ["x"] * 40).selectExpr("*", "'b' AS block", "doc_id + 100 AS slot", "'m' AS mix_at", "7 AS n", "8 AS j", "9 AS src")
+    assert sorted(map(tuple, mixing.in_mix_order(docs).collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_schedule_stays_within_a_block_of_any_weights():
     rng = random.Random(4)
     for _ in range(60):
