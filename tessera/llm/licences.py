@@ -3,7 +3,9 @@
 A text is cut into sentences; each is normalised (lower case, runs of other characters
 than a-z and 0-9 to one space) and looked up among known licence sentences. The identifiers,
 with "-" for any other sentence, form the document's sequence. Rules, the longest first,
-are ordered identifier sequences; what a rule has matched is not matched again.
+are ordered identifier sequences; what a rule has matched is not matched again. A line is a
+sentence too, unless it is part of a known sentence that is wrapped over lines; bare list
+markers are none.
 No row leaves its partition.
 """
 
@@ -74,13 +76,54 @@ _LONGEST_FIRST = sorted(RULES, key=lambda r: -len(r[0]))
 _CUT = r"[.!?;:][^\p{L}\p{N} \t\r\n]*(?:[ \t\r\n]+|$)|[\r\n|]+"
 
 
+# The sentences as the published texts have them, besides those that ``SQL`` knows. It reads single lines only.
+_FSF = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation either version {} of the license or at your option any later version"
+PUBLISHED = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as_is",
+    _FSF.format("", "3"): "gpl3_terms",
+    _FSF.format("", "2"): "gpl2_terms",
+    _FSF.format("lesser ", "3"): "lgpl_terms",
+    _FSF.format("lesser ", "2 1"): "lgpl_terms",
+    "this library is free software": "gpl_free",
+}
+PUBLISHED_RULES = [
+    (("gpl_free", "gpl3_terms"), "GPL-3.0-or-later"),
+    (("gpl_free", "gpl2_terms"), "GPL-2.0-or-later"),
+    (("reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_names"), "BSD-3-Clause"),
+    (("reserved", "bsd_grant", "bsd_source", "bsd_binary"), "BSD-2-Clause"),
+    (("reserved", "mit_grant", "mit_notice", "as_is"), "MIT"),
+    (("mit_grant", "mit_notice", "as_is"), "MIT"),
+    (("mit_grant", "mit_notice"), "MIT"),
+]
+_ALL_LONGEST_FIRST = sorted(RULES + PUBLISHED_RULES, key=lambda r: -len(r[0]))
+_ENDS, _LINES = _CUT.rsplit("|[", 1)[0], r"[\r\n|]+"
+_MARKER = "^(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})$"
+_LISTED = r"^[^\p{L}\p{N}]*(?:[0-9]{1,2}|[A-Za-z]|[ivxIVX]{2,4})\)[ \t]+"
+_NAMES = "neither the name of the copyright holder nor the names of its contributors"
+#: (pattern over lines, sentence) of every known sentence, the longest first; any holder's name may stand in the third BSD clause.
+_WRAPPED = [
+    (k.replace(_NAMES, "neither the name of @ nor the names of its contributors").replace(" ", "[ \n]").replace("@", "[a-z0-9 \n]{1,200}?"), k)
+    for k in sorted({**SENTENCES, **PUBLISHED}, key=lambda k: -len(k))
+]
+
+
 def sentence_ids(text: Column) -> Column:
-    """The identifier, or "-", of each sentence in order; sentences without letters or digits are left out."""
-    known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    plain = F.filter(
-        F.transform(F.split(text, _CUT), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != ""
+    """The identifier, or "-", of each sentence in order; sentences without letters or digits and bare list markers are left out."""
+    known = F.create_map(*[F.lit(x) for kv in {**SENTENCES, **PUBLISHED}.items() for x in kv])
+    keys = F.array(*[F.struct(F.lit(rf"(?<![^\n])(?:{p})(?![^\n])").alias("p"), F.lit(k).alias("k")) for p, k in _WRAPPED])
+    any_key = r"(?<![^\n])(?:" + "|".join(p for p, _ in _WRAPPED) + r")(?![^\n])"
+    plain = lambda s: F.trim(F.regexp_replace(F.lower(F.regexp_replace(s, _LISTED, "")), "[^a-z0-9]+", " "))
+    lines = F.transform(F.split(text, _ENDS), lambda s: F.when(s.rlike(_LINES), F.array_join(F.filter(F.transform(F.split(s, _LINES), plain), lambda x: x != ""), "\n")).otherwise(plain(s)))
+    joined = F.transform(
+        lines,
+        lambda s: F.when(
+            (F.contains(s, F.lit("\n")) | F.startswith(s, F.lit("neither the name of "))) & s.rlike(any_key),
+            F.aggregate(keys, s, lambda a, k: F.regexp_replace(a, k["p"], k["k"])),
+        ).otherwise(s),
     )
-    return F.transform(plain, lambda s: F.coalesce(F.element_at(known, s), F.lit("-")))
+    own = F.filter(F.flatten(F.transform(joined, lambda s: F.split(s, "\n"))), lambda s: (s != "") & ((F.length(s) > 4) | ~s.rlike(_MARKER)))
+    return F.transform(own, lambda s: F.coalesce(F.element_at(known, s), F.lit("-")))
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -89,7 +132,7 @@ def licences(docs: DataFrame) -> DataFrame:
     A null or empty text has none. Repeated rows give repeated results; other columns are
     not read. A text of any length is one expression over its sentences.
     """
-    rules = F.array(*[F.struct(F.lit(" " + "  ".join(ids) + " ").alias("p"), F.lit(name).alias("l")) for ids, name in _LONGEST_FIRST])
+    rules = F.array(*[F.struct(F.lit(" " + "  ".join(ids) + " ").alias("p"), F.lit(name).alias("l")) for ids, name in _ALL_LONGEST_FIRST])
     ids = docs.select("doc_id", sentence_ids(F.coalesce(F.col("text"), F.lit(""))).alias("ids"))
     joined = ids.select(
         "doc_id",

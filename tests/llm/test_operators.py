@@ -141,6 +141,89 @@ def test_toxicity_on_labelled_tables(spark, small_tables):
     assert sum(r["predicted"] == r["toxic"] for r in held) >= 0.95 * len(held)
 
 
+# ------------------------------------------------------------------ 3
+
+MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD2 = """Copyright (c) 2020, A Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD3 = (
+    BSD2
+    + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+)
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+APACHE = """# Copyright 2020 A Person
+#
+# Licensed under the Apache License, Version 2.0
+# (the "License"); you may not use this file except in compliance
+# with the License. You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# is distributed on an "AS IS" BASIS.
+"""
+GPL = """    This program is free software{} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{} either version {} of the License, or
+    (at your option) any later version.
+"""
+NOTICES = [
+    (MIT, "MIT", {"mit_grant", "mit_notice", "as_is"}),
+    ("MIT License\n\n" + MIT, "MIT", {"mit_title", "mit_grant", "mit_notice", "as_is"}),
+    (BSD2 + DISCLAIMER, "BSD-2-Clause", {"reserved", "bsd_grant", "bsd_source", "bsd_binary"}),
+    (BSD3 + DISCLAIMER, "BSD-3-Clause", {"reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_names"}),
+    (BSD3.replace("the copyright holder nor", "Some Company, Inc. nor").replace("Inc.", "Inc"), "BSD-3-Clause", {"reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_names"}),
+    (BSD3.replace("1. ", "(1) ").replace("2. ", "b) ").replace("3. ", "* "), "BSD-3-Clause", {"reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_names"}),
+    (APACHE, "Apache-2.0", {"apache2_ref", "apache2_comply", "apache2_copy"}),
+    (GPL.format(":", ",", 3), "GPL-3.0-or-later", {"gpl_free", "gpl3_terms"}),
+    (GPL.format(";", ";", 2), "GPL-2.0-or-later", {"gpl_free", "gpl_terms", "gpl2_later"}),
+    ("MIT License\nnext line\nLicensed under\nCC BY 4.0", "CC-BY-4.0,MIT", {"mit_title", "ccby4_ref"}),
+]
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_licences_of_whole_notices(spark, ending):
+    docs = docs_of(spark, [f"Some words.\n{n}\nMore words.\n".replace("\n", ending) for n, _, _ in NOTICES])
+    got = {r["doc_id"]: r for r in licences.licences(docs).collect()}
+    for i, (_, name, ids) in enumerate(NOTICES):
+        assert (got[i]["licences"], set(got[i]["sentence_ids"].split(","))) == (name, ids), i
+        assert got[i]["n_known"] == len(ids), i
+
+
 # ------------------------------------------------------------------ 4
 
 
