@@ -27,8 +27,10 @@ _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # any run of 32 or more begins where a run begins
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-_RUNHEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+# The shortest base match, "token:" and 8 more, has 14 bytes: 19 base64 characters or 28 hex digits.
+_RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}={0,2}")
+_RUNHEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){14,}(?![0-9A-Fa-f])")
+_NEXT64 = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})(?!\S)")
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -127,10 +129,27 @@ def is_signed_token(header: str, claims: str) -> bool:
 
 def _hides_secret(data: bytes) -> bool:
     try:
-        inner = data.decode("ascii")
+        return bool(base_spans(data.decode()))
     except UnicodeDecodeError:
         return False
-    return inner.isprintable() and bool(base_spans(inner))
+
+
+def wrapped_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of base64 over lines of one length, the last of which may be shorter: where it hides a secret."""
+    out = []
+    for start, end in runs:
+        if out and start < out[-1][1]:
+            continue
+        parts, ends = [text[start:end]], [end]
+        while len(parts[-1]) == len(parts[0]) and parts[-1][-1] != "=" and (m := _NEXT64.match(text, ends[-1])) and len(m[1]) <= len(parts[0]):
+            parts.append(m[1])
+            ends.append(m.end())
+        whole = len(parts) - (len(parts[-1]) < len(parts[0]))
+        for n in dict.fromkeys((len(parts), whole)):  # a shorter line may be no part of it
+            if n > 1 and (data := decode64("".join(parts[:n]))) and _hides_secret(data):
+                out.append((start, ends[n - 1]))
+                break
+    return out
 
 
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
@@ -144,8 +163,11 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     if "eyJ" in text:
         out += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     pems = [(s, e) for s, k, e in out if k == "pem"]
-    for m in _RUN64.finditer(text):
-        if any(s <= m.start() < e for s, e in pems):
+    runs = list(_RUN64.finditer(text))
+    wrapped = wrapped_spans(text, [m.span() for m in runs if not any(s <= m.start() < e for s, e in pems)])
+    out += [(s, "coded", e) for s, e in wrapped]
+    for m in runs:
+        if any(s <= m.start() < e for s, e in pems + wrapped):
             continue
         data = decode64(m[0])
         if data is None:
@@ -158,7 +180,7 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
             out.append((m.start(), "coded", m.end()))
     for m in _RUNHEX.finditer(text):
         data = bytes.fromhex(m[0])
-        if is_private_der(data):
+        if len(data) >= 32 and is_private_der(data):
             out.append((m.start(), "der", m.end()))
         elif _hides_secret(data):
             out.append((m.start(), "coded", m.end()))
