@@ -551,6 +551,8 @@ def lanczos_embeddings(spark, sf_dir):
     a = Coo(algebra.gram(e, [F.col("embedding")[k] for k in range(n)]), (n, n))
     op = packed_operator(a)
     s = eigen.solve_eigen(EigenProblem(None, count=3), "KrylovKitEigen", apply=op.apply, n=n)
+    if not s.ok:
+        raise ArithmeticError(f"eigenvalues: {s.retcode.value} after {s.iters} products")
     return eigen.eigen_rows(spark, *s.u).select("k", F.round("lambda_re", 4).alias("lambda_re"), F.round("lambda_im", 4).alias("lambda_im"))
 
 

@@ -191,6 +191,33 @@ def test_eigenvalues():
             eigen.solve_eigen(args[1], args[0])
 
 
+def _laplacian(x):
+    y = 2 * x
+    y[1:] -= x[:-1]
+    y[:-1] -= x[1:]
+    return y
+
+
+@pytest.mark.parametrize("n", [64, 400, 10_000])
+def test_eigenvalues_are_right_or_not_called_so(n):
+    s = eigen.solve_eigen(EigenProblem(None, count=3), "KrylovKitEigen", apply=_laplacian, n=n)
+    want = 2 - 2 * np.cos(np.arange(n, n - 3, -1) * np.pi / (n + 1))
+    assert s.ok == (n < 10_000)
+    assert s.retcode in (RetCode.SUCCESS, RetCode.MAXITERS)
+    assert not s.ok or np.allclose(s.u[0], want, atol=1e-9)
+
+
+@pytest.mark.parametrize("target", ["LM", "LR", "SR", "LI"])
+def test_eigenpairs_of_an_unsymmetric_matrix(target):
+    a = np.random.default_rng(0).standard_normal((300, 300))
+    s = eigen.solve_eigen(EigenProblem(None, count=4, target=EigenTarget(target)), "ArpackJL", apply=lambda x: a @ x, n=300)
+    w = np.linalg.eigvals(a)
+    want = w[eigen.selected(w, EigenTarget(target), 4)]
+    assert s.ok
+    assert np.allclose(np.sort_complex(s.u[0]), np.sort_complex(want), atol=1e-5)
+    assert np.abs(a @ s.u[1] - s.u[1] * s.u[0]).max() < 1e-5
+
+
 def test_rules():
     f = lambda **k: rules.default_choice(rules.Facts(**{"rows": 50, "cols": 50, **k}))
     assert f(kind="diagonal") == "DiagonalFactorization"
