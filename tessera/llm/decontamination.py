@@ -11,6 +11,7 @@ a document merge into its removal spans.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -245,7 +246,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     benchmark hits nothing. Other columns are not read. A benchmark above ``PASS_BYTES`` is
     searched in passes over the documents, whose findings are put together by document.
     """
-    parts = [_found(docs, p, window) for p in _passes(benchmark)]
+    return _judged(docs, [_found(docs, p, window) for p in _passes(benchmark)]).drop("h")
+
+
+def _judged(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """``contamination`` from the findings of its passes, with ``h``, the text's hash."""
     found = parts[0]
     if len(parts) > 1:  # repeated rows find the same in each pass: they are counted in one and joined to the union
         for p in parts[1:]:
@@ -259,7 +264,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', acc[size(acc) - 1].a, 'b', greatest(acc[size(acc) - 1].b, x.b)))), concat(acc, array(x))))"""
         found = found.withColumn("spans", F.expr(step))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
-    return found.select("doc_id", "n_words", "spans", "items", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn(
+    return found.select("doc_id", "h", "n_words", "spans", "items", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     )
 
@@ -270,12 +275,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the contaminated ones. With a benchmark of one pass no row leaves its partition."""
-    passes = list(_passes(benchmark))
-    if len(passes) > 1:
-        bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(Patterns(passes[0], window))
+    """``docs`` without the contaminated ones, each row judged by its own text. With a benchmark of one pass no row leaves its partition."""
+    passes = _passes(benchmark)
+    first = next(passes)
+    second = next(passes, None)
+    if second is not None:
+        parts = [_found(docs, p, window) for p in itertools.chain([first, second], passes)]
+        key = [F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("z")]
+        bad = _judged(docs, parts).where("contaminated").select(*key, "h").distinct()
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key, F.xxhash64("text").alias("h"))
+        return rows.join(bad, ["d", "z", "h"], "left_anti").select("_row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(Patterns(first, window))
     at = docs.columns.index("text")
 
     def keep(batches):

@@ -129,6 +129,18 @@ def test_contamination_in_passes_is_the_same(spark, tricky, monkeypatch):
     assert len(kept) == sum("contaminated=False" in r for r in one)
 
 
+def test_rows_without_a_name_of_their_own_are_judged_alone(spark, monkeypatch):
+    bad, *clean = prose(5, 8)
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in [(None, bad), (None, clean[0]), (None, None), (7, bad), (7, clean[1]), (7, clean[1]), (8, clean[2]), (9, bad)]], DOCS).selectExpr("*", "1 AS h", "2 AS d")
+    items = spark.createDataFrame([(1, bad), (2, clean[3])], "item_id long, text string")
+    want = sorted(map(repr, docs.where(~docs.text.eqNullSafe(bad)).collect()))
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(decontamination, "PASS_BYTES", size)
+        out = decontamination.without_contaminated(docs, items)
+        assert out.columns == docs.columns
+        assert sorted(map(repr, out.collect())) == want
+
+
 def test_toxicity_on_labelled_tables(spark, small_tables):
     big = small_tables.replace("sf0.001", "sf0.01")
     df = toxicity.op8_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id")
