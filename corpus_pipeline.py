@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import range_bucket, saved, tasks
 from tessera.llm.decontamination import without_contaminated
-from tessera.llm.jaccard import near_duplicates
+from tessera.llm.jaccard import classed
 from tessera.llm.mixing import in_mix_order
 from tessera.llm.sharding import byte_shards
 from tessera.llm.toxicity import without_toxic
@@ -24,17 +24,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least doc_id stays.
+    """Of each class of linked documents one row stays: with the least doc_id, null ids last, then the least hash of its text.
 
-    Documents without words are in no class and stay. Rows that repeat that doc_id and its
-    text are one document and one of them stays; a class of null ids keeps one row.
+    Documents without words are in no class and all stay. Rows are told apart by doc_id and the
+    text's hash.
     """
-    found = near_duplicates(docs)
-    grouped = found.where("class_id is not null")
-    out = grouped.where("doc_id is null or doc_id <> class_id").select("doc_id").where("doc_id is not null").distinct()
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    kept = docs.join(out, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    return kept.dropDuplicates(["doc_id", "text"]) if twice else kept
+    key = [F.col("doc_id").isNull().alias("_z"), F.coalesce("doc_id", F.lit(0)).alias("_d")]
+    names = ["_z", "_d", "_h"]
+    found = saved(classed(docs).where("root is not null").select("root", *key, F.col("h").alias("_h")), "classes")
+    least = found.groupBy("root").agg(F.min(F.struct(*names)).alias("_least"))
+    out = saved(found.join(least, "root").where(F.struct(*names) != F.col("_least")).select(*names).distinct(), "copies")
+    twice = saved(found.groupBy(*names).agg(F.count("*").alias("c")).where("c > 1").select(*names), "repeats")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key, F.xxhash64("text").alias("_h"))
+    kept = rows.join(out, names, "left_anti")
+    if twice.limit(1).count():
+        once = kept.join(twice, names, "left_anti")
+        kept = once.unionByName(kept.join(twice, names, "left_semi").dropDuplicates(names))
+    return kept.select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

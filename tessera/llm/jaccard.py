@@ -110,11 +110,12 @@ def _signatures(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(part["doc_id"], pa.int64()),
+                pa.array(part["h"], pa.int64()),
                 pa.array(_digests(hashes, sizes), pa.binary()),
                 pa.array(sizes.astype(np.int64)),
                 pa.array([tokens[4 * POSITIONS * i : 4 * POSITIONS * (i + 1)] if sizes[i] else None for i in range(len(sizes))], pa.binary()),
             ],
-            ["doc_id", "k", "n", "tokens"],
+            ["doc_id", "h", "k", "n", "tokens"],
         )
 
 
@@ -282,8 +283,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     (null, empty) is linked to none and its ids are its own. Repeated rows are copies. An
     empty table gives an empty result; other columns are not read.
     """
+    return classed(docs).drop("h", "root")
+
+
+def classed(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with ``h``, the hash of the text, and ``root``, the class's name: null without words."""
     spark = docs.sparkSession
-    signed = saved(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, k binary, n long, tokens binary"), "signatures")
+    signed = saved(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_signatures, "doc_id long, h long, k binary, n long, tokens binary"), "signatures")
     copies = saved(signed.where("k is not null").groupBy("k").agg(F.count("*").alias("w"), F.min("doc_id").alias("copy_id"), F.max("n").alias("n"), F.first("tokens").alias("tokens")), "copies")
     candidates = components(_candidates(copies.select("k", "tokens")))
     member = saved(candidates.join(copies.select("k", "w", "n", "copy_id"), "k"), "members")
@@ -300,9 +306,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = components(exact.where("b is not null").select(F.col("k").alias("a"), "b"))
     least = classes.join(copies.select("k", "copy_id"), "k").groupBy("root").agg(F.min("copy_id").alias("class_id"))
     found = copies.select("k", "w", "copy_id").join(classes, "k", "left").join(least, "root", "left").join(links, "k", "left")
-    found = found.select("k", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    return signed.select("doc_id", "k").join(found, "k", "left").select(
+    found = found.select("k", F.coalesce("root", "k").alias("root"), "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    return signed.select("doc_id", "h", "k").join(found, "k", "left").select(
         "doc_id",
+        "h",
+        "root",
         F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

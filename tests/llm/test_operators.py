@@ -424,6 +424,18 @@ def test_pipeline_against_plain_python(spark, small_tables):
     assert max(shards.values()) - min(shards.values()) <= 2 * most
 
 
+def test_near_copies_keep_one_row_of_each_class(spark):
+    a, b, c, d = prose(4, 21)
+    near = a + " tail"
+    rows = [(None, a), (None, near), (3, b), (None, b), (None, b + " tail"), (4, c), (4, c), (4, c + " tail"), (4, d), (None, None), (None, None), (6, ""), (6, ""), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], DOCS)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    for own, ids in (((a, near), {None}), ((b, b + " tail"), {3}), ((c, c + " tail"), {4}), ((d,), {4})):
+        assert [i for (i, x), n in got.items() if x in own for _ in range(n)] == list(ids)
+    assert [got[k] for k in ((None, None), (6, ""), (4, ""))] == [2, 2, 2]
+    assert got.total() == 10
+
+
 def test_stages_keep_the_columns(spark, small_tables):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet").limit(60)
     for name, stage in corpus_pipeline.STAGES[:-1]:
