@@ -19,18 +19,31 @@ BATCH_BYTES = str(4 << 20)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (local tests) a folder of our own is set.
+    Only a local session that does not name one (tests) gets a folder of our own; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "tessera")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one of this application that is deleted when it ends."""
+    top = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    _file_system(spark, top).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(top))
+    return f"{top}/{tag}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a path that nothing will read any more."""
+    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -40,6 +53,33 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Groups that a join sends to all rows: those with at least a part in ``HEAVY`` of the rows, so no more than these.
+HEAVY = 2_000
+
+
+def split_join(rows: DataFrame, groups: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``groups``, a saved table with a row for each value of ``on`` and its number of rows.
+
+    Rows of the heaviest groups stay where they are: these groups, ``HEAVY`` at most, are
+    broadcast. The others are joined by a shuffle, in which no value has more than a part in ``HEAVY`` of the rows.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    least = max(1_000, -(-total // HEAVY))
+    heavy = groups.where(F.col(count) >= least)
+    few = heavy.limit(HEAVY + 1).collect()
+    if not few:
+        return rows.join(groups, on)
+    few = rows.sparkSession.createDataFrame(few, groups.schema)
+    return rows.join(F.broadcast(few), on).unionByName(rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(groups.where(F.col(count) < least), on))
+
+
+def ranked(rows: DataFrame, pair: list[str], weight: str) -> DataFrame:
+    """Of each value of ``pair`` that ties: its rank in sorted order and ``n``, the sum of ``weight``. Saved, so that a rank stays what it is."""
+    ties = rows.groupBy(*pair).agg(F.sum(weight).alias("n")).where("n > 1")
+    ordered = ties.repartitionByRange(tasks(rows.sparkSession), *pair).sortWithinPartitions(*pair)
+    return saved(ordered.withColumn("rank", F.monotonically_increasing_id()), "ranks")
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,4 +21,5 @@ SQL = {
     "op5_sharding": sharding.SQL,
     "op6_mixing": mixing.SQL,
     "op9_decontamination": decontamination.SQL,
+    "op10_suffixes": suffixes.SQL,
 }

@@ -1,22 +1,25 @@
 """Repeated 200-byte strings cut from documents: prefix doubling over sampled positions.
 
-A position's rank after a round is a 64-bit name of the bytes that follow it, and the name for twice the
-length comes from the pair of names at a position and one offset further on; equal strings have
-equal names everywhere, so names need no exchange. Spark sorts and counts pairs where that decides
-something, at growing lengths:
+The rank of a position at a length tells equal strings of that length from others, and the rank at
+a greater length follows from the ranks at two positions. Up to 100 bytes a position's rank
+is a 64-bit name made of pairs of names inside its text (8, 16, 32, 64, 100): equal strings have
+equal names everywhere. From there on Spark counts and sorts (rank, rank at an offset) of the
+positions that are left, and a position goes as soon as its rank is unique:
 
-1. length 100, at sampled positions only: of the 101 positions from which 100 bytes stay within a
+1. length 100, at sampled positions: of the 101 positions from which 100 bytes stay within a
    200-byte window the one with the least name is the window's anchor, so equal windows have
-   anchors at the same place. An anchor whose name is unique is done: its windows are unique.
+   anchors at the same place. An anchor of unique rank is done: its windows are unique.
 2. all windows of an anchor together (200 to 300 bytes): where these strings are equal
    elsewhere, every window of the anchor is repeated, and the position is done.
 3. length 176, for each 25 places of an anchor in its windows: the bytes that these windows share. Where
    they are unique, so are the windows; where all of the windows together are equal elsewhere,
    they are repeated.
-4. length 200, the threshold, for each window that is left: the pair of names at offsets 0
-   and 100 is counted.
+4. the positions of the windows that are left: at 100 bytes both halves of each window get a
+   rank in sorted order, and windows with a unique half go; at 200 bytes, the threshold, the
+   pairs (rank, rank 100 further on) are ranked again, and those that tie are repeated.
 
-Documents with equal texts are one for all this; they repeat each other whole.
+The texts are named once, in step 1. Steps 3 and 4 work on the 300 bytes around the anchors that are
+left. Documents with equal texts are one for all this; they repeat each other whole.
 """
 
 from __future__ import annotations
@@ -28,36 +31,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, pair_name, saved, small_batches, tasks, utf8
+from .common import chunks, pair_name, ranked, saved, small_batches, split_join, tasks, utf8
 
 LENGTH = 200
 HALF = LENGTH // 2
 #: Places of an anchor that are decided together, and the bytes that their windows share.
 STEP = 25
 CORE = LENGTH - STEP + 1
-#: Bytes of texts handled together; a longer text is handled alone.
+#: Bytes of texts handled together; of a longer text, windows that are named together.
 TOGETHER = 1 << 18
 
 ONE, MANY, HELPER = 1, 2, 3
 
 
+def names(raw: np.ndarray) -> np.ndarray:
+    """Of each position from which HALF bytes follow: their name. ``raw`` ends in 8 bytes more, which no name covers."""
+    n = len(raw) - 8
+    name = np.lib.stride_tricks.as_strided(raw, (n, 8), (1, 1)).copy().view("<u8").ravel()  # the first rank: 8 bytes
+    name = pair_name(name, name)
+    for step in (8, 16, 32):
+        name = pair_name(name[:-step], name[step:])  # 16, 32, 64
+    return pair_name(name[: -(HALF - 64)], name[HALF - 64 :])[: n - HALF + 1]
+
+
 class Windows:
     """Names, anchors and windows of some texts."""
 
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) for t in texts], np.int64)
-        raw = b"".join(texts) + bytes(8)
+        raw = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
         n = len(raw) - 8
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         self.empty = n < LENGTH
         if self.empty:
             return
-        name = np.ndarray((n,), "<u8", raw, 0, (1,)).copy()  # the 8 bytes at each position are its first rank
-        name = pair_name(name, name)
-        for step in (8, 16, 32):
-            name = pair_name(name[:-step], name[step:])  # 16, 32, 64
-        self.half = pair_name(name[: -(HALF - 64)], name[HALF - 64 :])  # 100
+        self.half = names(raw)
         # The least of each HALF + 1 names and, in the low half of the word, its position: the first of equal ones.
         low = self.half & np.uint64(0xFFFFFFFF00000000) | np.arange(len(self.half), dtype=np.uint64)
         width = 1
@@ -80,145 +89,165 @@ class Windows:
         self.owner = owner[self.first]
         self.offset = place - self.first
         self.name = self.half[place]
-        ends = pair_name(self.windows(self.first), self.windows(self.last))
-        self.whole = pair_name(ends, ((self.last - self.first) << 32 | (place - self.first)).astype(np.uint64))
-
-    def parts(self, anchors: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each STEP places of some anchors: the anchor, the first and last window, and the names of shared and of all bytes."""
-        place = self.first[anchors] + self.offset[anchors]
-        low, high = (place - self.last[anchors]) // STEP, (place - self.first[anchors]) // STEP
-        count = high - low + 1
-        which = np.repeat(np.arange(len(anchors)), count)
-        b = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + low[which]
-        place, own = place[which], anchors[which]
-        first = np.maximum(self.first[own], place - STEP * b - STEP + 1)
-        last = np.minimum(self.last[own], place - STEP * b)
-        core = pair_name(self.half[place - STEP * b], self.half[place - STEP * b + CORE - HALF])
-        core = pair_name(core, b.astype(np.uint64))
-        ends = pair_name(self.windows(first), self.windows(last))
-        every = pair_name(ends, ((last - first) << 32 | (place - first)).astype(np.uint64) + np.uint64(1 << 63))
-        return own, first, last, core, every
+        self.whole = _spanned(self.half, self.first, self.last, place)
 
-    def windows(self, at: np.ndarray) -> np.ndarray:
-        return pair_name(self.half[at], self.half[at + HALF])
 
+def _spanned(half: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A name of all bytes of the windows from ``first`` to ``last``, seen from the anchor."""
+    ends = pair_name(pair_name(half[first], half[first + HALF]), pair_name(half[last], half[last + HALF]))
+    return pair_name(ends, ((last - first) << 32 | (place - first)).astype(np.uint64))
 
-def _texts(part: dict) -> list[bytes]:
-    return [utf8(t) for t in part["text"]]
 
+def _runs(at: np.ndarray) -> bytes:
+    """Ascending positions as (start, how many follow one another)."""
+    head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+    return np.column_stack([at[head], np.diff(np.append(head, len(at)))]).astype("<i8").tobytes()
 
-_NAMED = "name long, whole long, key long, text_h long, m int"
 
+def _segments(part: dict):
+    """(rows of the part, texts, positions in the rows' texts): all short texts at once, long ones in pieces that overlap."""
+    short = [i for i, t in enumerate(part["text"]) if not t or len(t) <= TOGETHER]
+    if short:
+        yield short, [utf8(part["text"][i]) for i in short], 0
+    for i in set(range(len(part["text"]))).difference(short):
+        raw = utf8(part["text"][i])
+        for at in range(0, len(raw), TOGETHER):
+            yield [i], [raw[at : at + TOGETHER + LENGTH - 1]], at
 
-def _named(name, whole, key, text_h, m) -> pa.RecordBatch:
-    kinds = [np.int64] * 4 + [np.int32]
-    return pa.RecordBatch.from_arrays([pa.array(x.view(k) if x.dtype == np.uint64 else x.astype(k)) for x, k in zip((name, whole, key, text_h, m), kinds)], [x.split()[0] for x in _NAMED.split(", ")])
+
+_ANCHOR = pa.schema([("name", pa.int64()), ("whole", pa.int64()), ("key", pa.int64()), ("text_h", pa.int64()), ("m", pa.int32()), ("at", pa.int64()), ("width", pa.int32()), ("off", pa.int32()), ("more", pa.binary())])
 
 
 def _anchors(batches):
-    """A row for each anchor's name and its windows' name in a text, with how often they stand there."""
+    """A row for each anchor's name and its windows' name in a text (a piece of a long one), how often they stand there, and where."""
     for part in chunks(batches, TOGETHER):
-        w = Windows(_texts(part))
-        if w.empty:
-            continue
-        key, text_h = (np.array(part[c], np.int64)[w.owner] for c in ("key", "text_h"))
-        order = np.lexsort((w.whole, w.name, w.owner))
-        a, b, c = w.name[order], w.whole[order], w.owner[order]
-        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
-        yield _named(a[head], b[head], key[order][head], text_h[order][head], np.diff(np.append(head, len(a))))
+        for rows, texts, base in _segments(part):
+            w = Windows(texts)
+            if w.empty:
+                continue
+            order = np.lexsort((w.first, w.whole, w.name, w.owner))
+            a, b, c = w.name[order], w.whole[order], w.owner[order]
+            head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
+            one, m = order[head], np.diff(np.append(head, len(a)))
+            at = w.first - w.starts[w.owner] + base
+            more: list = [None] * len(head)
+            for x in np.flatnonzero(m > 1):
+                more[x] = _runs(at[order[head[x] : head[x] + m[x]]])
+            key, text_h = (np.array([part[k][i] for i in rows], np.int64)[w.owner[one]] for k in ("key", "text_h"))
+            columns = [w.name[one].view(np.int64), w.whole[one].view(np.int64), key, text_h, m, at[one], (w.last - w.first)[one], w.offset[one], more]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, _ANCHOR)], schema=_ANCHOR)
+
+
+_PIECE = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("width", pa.int32()), ("off", pa.int32()), ("kind", pa.int32()), ("piece", pa.binary())])
+
+
+def _pieces(batches):
+    """The bytes of the windows of each anchor that is left, or may help those."""
+    for part in chunks(batches, TOGETHER):
+        rows: list[tuple] = []
+        for key, text, found in zip(part["key"], part["text"], part["found"]):
+            raw = utf8(text)
+            rows += [(key, f["at"], f["width"], f["off"], f["kind"], raw[f["at"] : f["at"] + f["width"] + LENGTH]) for f in found]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), _PIECE)], schema=_PIECE)
 
 
-def _texts(part: dict) -> list[bytes]:
-    return [utf8(t) for t in part["text"]]
+def _named(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all positions of the pieces put together, and where each piece starts."""
+    every = pieces.to_pylist()
+    sizes = np.array([len(x) for x in every], np.int64)
+    raw = np.frombuffer(b"".join(every) + bytes(8), np.uint8)
+    return names(raw), np.cumsum(sizes) - sizes
 
 
-def _lookup(found: list, owner: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """What is known of each name of a text, ONE, MANY or HELPER, or else 0. ``owner`` ascends."""
-    out = np.zeros(len(names), np.int8)
-    lo, hi = np.searchsorted(owner, [np.arange(len(found)), np.arange(len(found)) + 1])
-    for i, known in enumerate(found):
-        if known and lo[i] < hi[i]:
-            whole = np.array([f["whole"] for f in known], np.int64).view(np.uint64)
-            kind = np.array([f["kind"] for f in known], np.int8)
-            order = np.argsort(whole)
-            whole, kind = whole[order], kind[order]
-            own = names[lo[i] : hi[i]]
-            at = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
-            out[lo[i] : hi[i]] = np.where(whole[at] == own, kind[at], 0)
-    return out
+_CORE = pa.schema([("name", pa.int64()), ("whole", pa.int64()), ("key", pa.int64()), ("m", pa.int32()), ("at", pa.int64()), ("width", pa.int32()), ("off", pa.int32()), ("anchor", pa.int64())])
 
 
 def _cores(batches):
-    """A row for each STEP places of the anchors that are left, and of those that may help them, which count twice."""
-    for part in chunks(batches, TOGETHER):
-        w = Windows(_texts(part))
-        if w.empty:
+    """A row for each STEP places of the anchors in their windows; those that may help others count twice."""
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        kind = _lookup(part["found"], w.owner, w.whole)
-        left = np.flatnonzero((kind == ONE) | (kind == HELPER))
-        if len(left):
-            own, _, _, core, every = w.parts(left)
-            key = np.array(part["key"], np.int64)[w.owner[own]]
-            yield _named(core, every, key, key, np.where(kind[own] == ONE, 1, 2))
+        key, at, width, off, kind = (np.asarray(batch.column(i)) for i in range(5))
+        half, base = _named(batch.column(5))
+        last = base + width
+        place = base + off
+        low, high = (place - last) // STEP, (place - base) // STEP
+        count = (high - low + 1).astype(np.int64)
+        own = np.repeat(np.arange(len(count)), count)
+        b = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + low[own]
+        spot = place[own]
+        first = np.maximum(base[own], spot - STEP * b - STEP + 1)
+        end = np.minimum(last[own], spot - STEP * b)
+        core = pair_name(half[spot - STEP * b], half[spot - STEP * b + CORE - HALF])
+        core = pair_name(core, b.astype(np.uint64))
+        whole = _spanned(half, first, end, spot)
+        columns = [core.view(np.int64), whole.view(np.int64), key[own], np.where(kind[own] == ONE, 1, 2), at[own] + first - base[own], end - first, spot - first, at[own]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, _CORE)], schema=_CORE)
 
 
-_WINDOW = "a long, b long, key long, at int, m int"
+_HALF = pa.schema([("name", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("side", pa.int32()), ("m", pa.int32())])
 
 
-def _windows(batches):
-    """A row for each window of the places that are left, and of those that may help them, which count twice."""
-    for part in chunks(batches, TOGETHER):
-        w = Windows(_texts(part))
-        if w.empty:
-            continue
-        own, first, last, _, every = w.parts(np.arange(len(w.first)))
-        kind = _lookup(part["found"], w.owner[own], every)
-        left = np.flatnonzero((kind == ONE) | (kind == HELPER))
-        if not len(left):
+def _halves(batches):
+    """Both halves of each window of the places that are left; those that may help others count twice."""
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        count = last[left] - first[left] + 1
-        at = np.repeat(first[left] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        kinds, owner = np.repeat(kind[left], count), np.repeat(w.owner[own[left]], count)
-        columns = [w.half[at].view(np.int64), w.half[at + HALF].view(np.int64), np.array(part["key"], np.int64)[owner], np.where(kinds == ONE, at - w.starts[owner], -1).astype(np.int32), np.where(kinds == ONE, 1, 2).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _WINDOW.split(", ")])
-
-
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
-_RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
+        key, anchor = (np.asarray(batch.column(i)) for i in range(2))
+        half, base = _named(batch.column(2))
+        found = batch.column(3).to_pylist()
+        own = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        first, width, kind = (np.array([f[c] for row in found for f in row], np.int64) for c in ("at", "width", "kind"))
+        count = width + 1
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        own, m = np.repeat(own, count), np.repeat(np.where(kind == ONE, 1, 2), count)
+        spot = at - anchor[own] + base[own]
+        for side in (0, 1):
+            columns = [half[spot + side * HALF].view(np.int64), key[own], at, np.full(len(at), side), m]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, _HALF)], schema=_HALF)
+
+
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
+
+
+def _spans(ranges: list[dict]) -> list[tuple[int, int]]:
+    """Merged spans of bytes from ranges of window starts."""
+    found = []
+    for r in ranges:
+        if r["more"]:
+            runs = np.frombuffer(r["more"], "<i8").reshape(-1, 2)
+            found.append(np.column_stack([runs[:, 0], runs.sum(axis=1) - 1 + r["width"] + LENGTH]))
+        else:
+            found.append(np.array([[r["at"], r["at"] + r["width"] + LENGTH]]))
+    both = np.concatenate(found)
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    end = np.maximum.accumulate(both[:, 1])
+    head = np.flatnonzero(np.concatenate([[True], both[1:, 0] > end[:-1]]))
+    return list(zip(both[head, 0].tolist(), end[np.append(head[1:], len(end)) - 1].tolist()))
 
 
 def _cut(batches):
     for part in chunks(batches, TOGETHER):
-        texts = _texts(part)
-        w = Windows(texts)
-        starts: list[list[np.ndarray]] = [[] for _ in texts]
-        if not w.empty and any(part["found"]):
-            own, first, last, _, every = w.parts(np.arange(len(w.first)))
-            ranges = [(w.owner, w.first, w.last, w.whole), (w.owner[own], first, last, every)]
-            for owner, low, high, names in ranges:
-                for x in np.flatnonzero(_lookup(part["found"], owner, names) == MANY):
-                    starts[owner[x]].append(np.arange(low[x], high[x] + 1) - w.starts[owner[x]])
         rows = []
-        for i, raw in enumerate(texts):
+        for doc_id, text, copies, found in zip(part["doc_id"], part["text"], part["copies"], part["found"]):
+            raw = utf8(text)
             n = len(raw)
-            if part["copies"][i] > 1 and n >= LENGTH:
-                spans = [(0, n)]
-            else:
-                if part["places"][i]:
-                    starts[i].append(np.array(part["places"][i], np.int64))
-                spans = []
-                if starts[i]:
-                    at = np.unique(np.concatenate(starts[i]))
-                    new = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + LENGTH]))
-                    last = np.append(new[1:], len(at)) - 1
-                    spans = [(int(at[a]), int(at[b]) + LENGTH) for a, b in zip(new, last)]
+            spans = [(0, n)] if copies > 1 and n >= LENGTH else _spans(found) if found else []
             digest, at = hashlib.sha256(), 0
+            view = memoryview(raw)
             for a, b in spans:
-                digest.update(raw[at:a])
+                digest.update(view[at:a])
                 at = b
-            digest.update(raw[at:])
-            rows.append((part["doc_id"][i], n, sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [{"a": a, "b": b} for a, b in spans]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _RESULT_ARROW)], schema=_RESULT_ARROW)
+            digest.update(view[at:])
+            rows.append((doc_id, n, sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [{"a": a, "b": b} for a, b in spans]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _RESULT)], schema=_RESULT)
+
+
+def _ddl(schema: pa.Schema):
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return from_arrow_schema(schema)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -227,8 +256,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     A byte goes if any 200-byte string over it also starts elsewhere, in its own document or another;
     strings don't cross documents. A null text is empty and loses nothing. Repeated rows, and
     documents with equal texts of 200 bytes or more, lose all. An empty table gives an
-    empty result; other columns are not read. Texts are handled whole; a task needs about 60 times the
-    bytes of its longest text.
+    empty result; other columns are not read. Texts are cut whole; a long text is named in pieces
+    of ``TOGETHER`` bytes, whose windows overlap, so a task needs a few times the bytes of
+    its longest text.
 
     Names are 64 bits for anchors and 128 for windows, ``key`` 64 for id and text: chances of 2 ** -64
     a pair, against which anchors only choose what is counted exactly after them.
@@ -238,40 +268,65 @@ def repeats(docs: DataFrame) -> DataFrame:
     digest = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("d"))
     same = digest.groupBy("d").agg(F.count("*").alias("copies"), F.min("key").alias("first")).where("copies > 1")
     copied = saved(digest.join(same, "d").select("key", F.least("copies", F.lit(2)).cast("int").alias("copies"), (F.col("key") == F.col("first")).alias("own")).distinct(), "copied")
-    # A name is shared if it stands twice in a text, which the windows around it may tell, or in two texts that differ.
-    anchors = rows.mapInArrow(_anchors, _NAMED)
-    shared = anchors.groupBy("name").agg(F.max("m").alias("m"), F.min("text_h").alias("x"), F.max("text_h").alias("y"), F.min("whole").alias("v"), F.max("whole").alias("w")).where("m > 1 or x <> y or v <> w").select("name")
-    left = anchors.select("name", "whole", "key", "m").join(shared, "name")
-    left = saved(left.join(copied.where("not own").select("key"), "key", "left_anti"), "anchors")
-    many, rest = _decided(left)
-    many, rest = saved(many, "whole"), saved(rest, "whole")
-    # The last plan reads one exchange of the texts twice: for the windows and for the cuts.
+    # 100 bytes at the anchors. A name is shared if it stands twice in a text, which its place or windows tell, or in two texts that differ.
+    anchors = saved(rows.select("key", "text_h", "text").mapInArrow(_anchors, _ddl(_ANCHOR)), "anchors")
+    tied = F.expr("m > 1 or x <> y or v <> w or s <> t")
+    shared = anchors.groupBy("name").agg(
+        F.max("m").alias("m"), F.min("text_h").alias("x"), F.max("text_h").alias("y"), F.min("whole").alias("v"), F.max("whole").alias("w"), F.min("at").alias("s"), F.max("at").alias("t"), F.count("*").alias("n")
+    )
+    left = split_join(anchors.drop("text_h"), saved(shared.where(tied).select("name", "n"), "shared"), ["name"], "n").drop("n")
+    left = saved(left.join(copied.where("not own").select("key"), "key", "left_anti"), "left")
+    # 200 to 300 bytes: all windows of an anchor.
+    many, rest = _decided(left.withColumn("anchor", F.col("at")))
+    rest = saved(rest, "rest")
     dealt = rows.select("key", "doc_id", "text").repartition(n, "key")
-    told = lambda df: dealt.join(_gathered(df), "key").select("key", "doc_id", "text", "found")
-    some, open_ = _decided(saved(told(rest).mapInArrow(_cores, _NAMED).drop("text_h"), "cores"))
-    some, open_ = saved(some, "some"), saved(open_, "open")
-    windows = told(open_).mapInArrow(_windows, _WINDOW)
-    again = windows.groupBy("a", "b").agg(F.sum("m").alias("n")).where("n > 1").select("a", "b")
-    places = windows.where("at >= 0").select("a", "b", "key", "at").join(again, ["a", "b"]).groupBy("key").agg(F.collect_list("at").alias("places"))
-    known = _gathered(many.unionByName(some))
-    full = dealt.join(known, "key", "left").join(places, "key", "left").join(copied.select("key", "copies"), "key", "left")
-    return full.select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "found", "places").mapInArrow(_cut, _RESULT)
-
-
-def _gathered(known: DataFrame) -> DataFrame:
-    """What is known of each text, in one row: no more than the text has anchors."""
-    return known.groupBy("key").agg(F.collect_list(F.struct("whole", "kind")).alias("found"))
+    found = rest.groupBy("key").agg(F.collect_list(F.struct("at", "width", "off", "kind")).alias("found"))
+    pieces = saved(dealt.join(found, "key").select("key", "text", "found").mapInArrow(_pieces, _ddl(_PIECE)), "pieces")
+    # 176 bytes: STEP windows at a time.
+    cores = saved(pieces.select("key", "at", "width", "off", "kind", "piece").mapInArrow(_cores, _ddl(_CORE)), "cores")
+    some, open_ = _decided(cores.withColumn("more", F.lit(None).cast("binary")))
+    open_ = open_.groupBy("key", "anchor").agg(F.collect_list(F.struct("at", "width", "kind")).alias("found"))
+    around = pieces.select("key", F.col("at").alias("anchor"), "piece").dropDuplicates(["key", "anchor"]).join(open_, ["key", "anchor"])
+    halves = saved(around.select("key", "anchor", "piece", "found").mapInArrow(_halves, _ddl(_HALF)), "halves")
+    # 100 bytes at every position that is left, then 200 from the pairs of ranks.
+    first = split_join(halves, ranked(halves, ["name"], "m"), ["name"], "n")
+    side = lambda k: F.max(F.when(F.col("side") == k, F.col("rank"))).alias(f"r{k}")
+    pairs = saved(first.groupBy("key", "at").agg(side(0), side(1), F.max("m").alias("m")).where("r0 is not null and r1 is not null"), "pairs")
+    last = split_join(pairs.where("m = 1").drop("m"), ranked(pairs, ["r0", "r1"], "m"), ["r0", "r1"], "n")
+    single = last.select("key", "at", F.lit(0).alias("width"), F.lit(None).cast("binary").alias("more"))
+    ranges = many.unionByName(some).unionByName(single)
+    known = ranges.groupBy("key").agg(F.collect_list(F.struct("at", "width", "more")).alias("found"))
+    full = dealt.join(known, "key", "left").join(copied.select("key", "copies"), "key", "left")
+    return full.select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "found").mapInArrow(_cut, _ddl(_RESULT))
 
 
 def _decided(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, whole, kind) of those that are repeated whole, and of those that stay open or may help open ones."""
-    whole = left.groupBy("name", "whole").agg(F.sum("m").alias("n"), F.min("key").alias("first"))
+    """Ranges of windows that are repeated whole, and those that stay open or may help open ones, the first of equal ones alone."""
+    whole = left.groupBy("name", "whole").agg(F.sum("m").alias("n"), F.min(F.struct("key", "at")).alias("one"))
     groups = whole.groupBy("name").agg((F.min("n") == 1).alias("open"), F.sum("n").alias("total")).where("total > 1").drop("total")
-    kinds = left.select("name", "whole", "key").join(whole.join(groups, "name").where("n > 1 or open"), ["name", "whole"])
-    many = kinds.where("n > 1").select("key", "whole", F.lit(MANY).alias("kind")).distinct()
-    rest = kinds.where("open and (n = 1 or key = first)").select("key", "whole", F.when(F.col("n") == 1, ONE).otherwise(HELPER).alias("kind")).distinct()
-    return many, rest
+    told = saved(whole.join(groups, "name").where("n > 1 or open"), "told")
+    kinds = saved(split_join(left, told, ["name", "whole"], "n"), "kinds")
+    many = kinds.where("n > 1").select("key", "at", "width", "more")
+    rest = kinds.where("open and (n = 1 or one = struct(key, at))")
+    return many, rest.select("key", "at", "width", "off", F.when(F.col("n") == 1, ONE).otherwise(HELPER).alias("kind"), "anchor").distinct()
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+e AS (SELECT r, doc_id, b, CAST(octet_length(b) AS BIGINT) AS n FROM d),
+w AS (SELECT r, p, md5_number(hex(b[p + 1:p + {LENGTH}])) AS h FROM (SELECT r, b, unnest(range(0, n - {LENGTH - 1})) AS p FROM e WHERE n >= {LENGTH})),
+t AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS new FROM w SEMI JOIN t USING (h)),
+g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM s),
+c AS (SELECT r, min(p) AS a, max(p) + {LENGTH} AS z FROM g GROUP BY r, g),
+k AS (
+  SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM c GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN k.r IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(0, n_spans + 1),
+    lambda i: hex(b[CASE WHEN i = 0 THEN 1 ELSE z[i] + 1 END:CASE WHEN i = n_spans THEN n ELSE a[i + 1] END])), '')) END) AS kept_sha256
+FROM e LEFT JOIN k USING (r)
+"""

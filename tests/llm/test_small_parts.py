@@ -6,6 +6,7 @@ import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -214,8 +215,22 @@ def test_every_window_has_one_anchor():
     w = suffixes.Windows(texts)
     covered = [(int(o), int(x - w.starts[o])) for f, l, o in zip(w.first, w.last, w.owner) for x in range(f, l + 1)]
     assert sorted(covered) == [(o, x) for o, t in enumerate(texts) for x in range(len(t) - 199)]
-    own, first, last, _, _ = w.parts(np.arange(len(w.first)))
-    assert sorted((int(w.owner[o]), int(x - w.starts[w.owner[o]])) for o, f, l in zip(own, first, last) for x in range(f, l + 1)) == sorted(covered)
+
+
+def test_cores_cover_every_window():
+    rng = np.random.default_rng(6)
+    raw = bytes(rng.integers(97, 123, 3000, dtype=np.uint8))
+    w = suffixes.Windows([raw])
+    rows = [(1, f, l - f, o, suffixes.ONE, raw[f : l + 200]) for f, l, o in zip(w.first.tolist(), w.last.tolist(), w.offset.tolist())]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), suffixes._PIECE)], schema=suffixes._PIECE)
+    out = pa.Table.from_batches(suffixes._cores([batch])).to_pylist()
+    assert sorted(x for r in out for x in range(r["at"], r["at"] + r["width"] + 1)) == list(range(len(raw) - 199))
+    assert all(r["width"] < suffixes.STEP for r in out)
+
+
+def test_ranges_of_windows_become_spans():
+    runs = suffixes._runs(np.array([3, 4, 5, 900]))
+    assert suffixes._spans([{"at": 3, "width": 2, "more": runs}, {"at": 207, "width": 0, "more": None}, {"at": 500, "width": 1, "more": None}]) == [(3, 407), (500, 701), (900, 1102)]
 
 
 def test_crc_law():
