@@ -41,9 +41,11 @@ def _file_system(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def deleted(spark: SparkSession, path: str) -> None:
-    """Deletes a path that nothing will read any more."""
-    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+def deleted(df: DataFrame) -> None:
+    """Deletes the files of a saved table that nothing will read any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _file_system(spark, folder).delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -138,20 +140,48 @@ def scrambled(x: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------- ordered buckets
 
 
-def range_bucket(df: DataFrame, column: str, n: int) -> Column:
-    """A bucket number for ``column`` (a number or null), ascending with it, about equally full.
+#: Cuts of the first split into ranges, and the rows that one bucket should have at most.
+MOST_CUTS, BUCKET_ROWS = 255, 1 << 20
 
-    Only ``n`` quantiles reach the driver; the bounds are literals, so a recomputed task gets
-    the same buckets. Nulls are bucket -1.
+
+def unit(h: Column) -> Column:
+    """A signed 64-bit hash as a number from 0 to 1 in the same order."""
+    return h.cast("double") / F.lit(2.0**64) + F.lit(0.5)
+
+
+def _place(x: Column, cuts: list, low: int = 0) -> Column:
+    """How many of the ascending ``cuts`` are not above ``x``, plus ``low``: a binary search as a tree of conditions."""
+    if not cuts:
+        return F.lit(low)
+    middle = len(cuts) // 2
+    return F.when(x >= F.lit(cuts[middle]), _place(x, cuts[middle + 1 :], low + middle + 1)).otherwise(_place(x, cuts[:middle], low))
+
+
+def range_bucket(df: DataFrame, column: str, n: int, tie: Column | None = None) -> Column:
+    """A bucket number for ``column`` (whole numbers or null), ascending with it, then with ``tie`` (0 to 1); nulls come first.
+
+    Quantiles, ``MOST_CUTS`` at most, cut the column into ranges, and each range is cut evenly again
+    so that buckets have about ``BUCKET_ROWS`` rows. Rows that are null, or equal a cut (such as an id
+    of very many rows), are cut by ``tie``. Only the quantiles reach the driver; the bounds are literals,
+    so a recomputed task gets the same buckets.
     """
-    cuts = df.select(
-        F.percentile_approx(F.col(column), [i / n for i in range(1, n)], F.lit(20 * n)).alias("q")
-    ).first()["q"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
+    n = max(2, min(n, MOST_CUTS + 1))
+    got = df.agg(F.percentile_approx(F.col(column), [i / n for i in range(1, n)], F.lit(20 * n)).alias("q"), F.count("*").alias("c"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    x, cuts = F.col(column), sorted(set(got["q"] or []))
     if not cuts:
-        return F.when(F.col(column).isNull(), -1).otherwise(0)
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    return F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col(column))))
+        cuts = [0]
+    by_tie = F.least(F.floor(tie * F.lit(-(-got["c"] // BUCKET_ROWS))), F.lit((1 << 20) - 1)) if tie is not None and got["c"] > BUCKET_ROWS else F.lit(0)
+    place = _place(x, cuts)
+    pieces = -(-got["c"] // (n * BUCKET_ROWS))
+    inside = F.lit(0)
+    if pieces > 1:
+        ends = [got["lo"], *cuts, got["hi"]]
+        low, high = (F.element_at(F.array(*[F.lit(float(c)) for c in e]), place + 1) for e in (ends[:-1], ends[1:]))
+        part = F.floor((x.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * F.lit(pieces))
+        inside = F.greatest(F.lit(0), F.least(part, F.lit(pieces - 1)))
+    cut = x.isin(cuts)
+    code = F.when(x.isNull(), F.lit(-1)).otherwise(2 * place + (~cut).cast("int"))
+    return code.cast("long") * F.lit(1 << 20) + F.when(x.isNull() | cut, by_tie).otherwise(inside).cast("long")
 
 
 # --------------------------------------------------------------------------- Arrow batches

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import deleted, saved, split_join
 
 MOST_ROUNDS = 60
 
@@ -14,22 +14,28 @@ def components(links: DataFrame) -> DataFrame:
     """(k, root) for each end of ``links`` (a, b): the least k that it is linked to, directly or not.
 
     Large-star and small-star rounds alternate until no link changes. Each round sends a row
-    for each link and joins on the node, whose links Spark can split; it is saved, so that
-    the plan doesn't grow. Links to oneself are allowed; no links give no rows.
+    for each link and joins on the node, links of nodes with very many staying where they are; it is
+    saved, so that the plan doesn't grow, and the tables of the round before are deleted. Links to oneself are allowed; no links give no rows.
     """
     links = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     edges = links.where("a <> b")
     nodes = links.select(F.col("a").alias("k")).union(links.select(F.col("b").alias("k"))).distinct()
+    done: list[DataFrame] = []
     for _ in range(MOST_ROUNDS):
         # Large star: each node's larger neighbours are linked to its least neighbour or itself.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c")), "least")
+        large = split_join(both.where("b > a"), least, ["a"], "c").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # Small star: each node's smaller neighbours and itself are linked to the least of them.
-        small_of = large.groupBy("b").agg(F.min("a").alias("m"))
-        new = large.join(small_of, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
+        large = saved(large, "large")
+        small_of = saved(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("c")), "small")
+        new = split_join(large, small_of, ["b"], "c").select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         new = saved(new.select("e.a", "e.b").where("a <> b").distinct(), "links")
         changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
+        done += [least, large, small_of]
+        for df in done:
+            deleted(df)
+        done = [new]
         edges = new
         if not changed:
             break

@@ -5,7 +5,8 @@ Each source's documents form blocks of ``BLOCK`` in order. With a weight w of W
 the released block with the earliest deadline runs. As the weights add up to W, every block
 meets its deadline, so at any slot a source has run less than one block more or less than
 its target. The schedule repeats after W slots, with the weights' common divisor taken out. It is
-computed on the driver, for one period or until the last block has run, whichever is sooner.
+computed on the driver, for one period or until the last block has run, whichever is sooner:
+``ROOTS`` times the number of sources at most where the weights are not given.
 """
 
 from __future__ import annotations
@@ -14,33 +15,17 @@ import heapq
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import range_bucket, saved, tasks
+from .common import range_bucket, saved, tasks, unit
 
 BLOCK = 8
-PERIOD = 256
+#: The weight of the largest source where weights are not given.
+ROOTS = 1_000
 OWN = ("block", "slot", "mix_at")
 
 
-def shares(counts: DataFrame, period: int) -> DataFrame:
-    """Slots ``n`` of ``period`` for each ``src`` from its integer weight ``w``: one, and its part of the others by largest remainder.
-
-    ``counts`` has a row for each source.
-    """
-    spare = period - F.count("*").over(Window.partitionBy())
-    return (
-        counts.withColumn("_sum", F.sum("w").over(Window.partitionBy()))
-        .withColumn("_spare", spare)
-        .withColumn("_whole", F.expr("(_spare * w) div _sum"))
-        .withColumn("_left", F.col("_spare") - F.sum("_whole").over(Window.partitionBy()))
-        .withColumn("_place", F.row_number().over(Window.orderBy(F.expr("(_spare * w) % _sum").desc(), "src")))
-        .select("src", (1 + F.col("_whole") + (F.col("_place") <= F.col("_left")).cast("int")).cast("long").alias("n"))
-    )
-
-
 def schedule(weights: list[int], blocks: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """The period, and source, j and slot of the blocks of one: those of ``blocks`` blocks a source that run in it."""
     if min(weights, default=1) < 1:
@@ -66,20 +51,23 @@ def schedule(weights: list[int], blocks: list[int]) -> tuple[int, np.ndarray, np
 
 
 def _roots(counts: DataFrame) -> DataFrame:
-    return counts.select("src", F.floor(F.sqrt(F.col("c").cast("double")) * 1000).cast("long").alias("w"))
+    """Weights in proportion to the root of a source's rows, ``ROOTS`` for the largest and 1 at least."""
+    most = counts.agg(F.max("c").alias("most"))
+    root = F.floor(ROOTS * F.sqrt(F.col("c").cast("double") / F.col("most").cast("double")))
+    return counts.crossJoin(F.broadcast(most)).select("src", F.greatest(root, F.lit(1)).cast("long").alias("w"))  # one row
 
 
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: int = BLOCK, period: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` with ``block`` (long), ``slot`` (long: when that block runs) and ``mix_at`` (long).
 
     All rows stay; ``mix_at`` is unique and sorts the table into the mix. Weights are
-    integers from 1 by source; without them a source weighs the thousandfold root of its rows.
+    integers from 1 by source; without them it follows the root of its rows (``_roots``).
     Sources without a weight get 1; a null source is a source. When a source runs out, the
     others go on in their slots. Within a source the order is ascending doc_id, nulls
     first, then the text's hash; repeated rows follow one another. Columns with the names
     of the results are replaced. An empty table gives an empty result.
 
-    The weights are kept exactly, so the period follows from them; ``period`` is accepted and has no effect.
+    The weights are kept exactly, and the period follows from them: given weights should be small numbers.
     A source's rows are numbered inside ranges of doc_id, so that no task gets a whole source.
     Any number of sources is taken; their names, weights and counts are held on the driver.
     """
@@ -100,16 +88,17 @@ def _mixed(docs: DataFrame, law, block: int) -> DataFrame:
         F.col("doc_id").alias("_id"),
         (F.xxhash64("text") if "text" in docs.columns else F.lit(0)).alias("_h"),
     )
-    packed = packed.withColumn("_b", range_bucket(packed, "_id", min(2 * tasks(spark), 1024)))
+    packed = packed.withColumn("_b", range_bucket(packed, "_id", tasks(spark), unit(F.col("_h"))))
     per = packed.groupBy("src", "_b").agg(F.count("*").alias("_c"))
     counts = per.groupBy("src").agg(F.sum("_c").alias("c"))
     sources = counts.join(law(counts), "src").orderBy("src").collect()
-    ws, names = [r["w"] for r in sources], pa.array([r["src"] for r in sources], pa.string())
+    ws = [r["w"] for r in sources]
     period, at, js, slots = schedule(ws, [-(-r["c"] // block) for r in sources])
-    share = pa.array(np.array(ws, np.int64) // (math.gcd(*ws) or 1))
-    table = pa.table({"src": names.take(pa.array(at)), "j": js, "slot": slots})
-    table = saved(spark.createDataFrame(table), "slots")  # the slots of one period at most: a part of the blocks
-    shares_of = spark.createDataFrame(pa.table({"src": names, "n": share}))
+    common = math.gcd(*ws) or 1
+    rows = [(r["src"], r["w"] // common, slots[at == i].tolist()) for i, r in enumerate(sources)]
+    known = spark.createDataFrame(rows, "src string, n long, slots array<long>")
+    table = saved(known.select("src", F.posexplode("slots").alias("j", "slot")), "slots")  # the slots of one period at most
+    shares_of = known.select("src", "n")
     before = Window.partitionBy("src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.select("src", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0")).join(shares_of, "src")
     inside = Window.partitionBy("src", "_b").orderBy(F.col("_id").asc_nulls_first(), "_h")
@@ -132,39 +121,26 @@ def in_mix_order(docs: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix to weights in whole slots of ``PERIOD``, as its SQL has it; ``mix`` keeps the weights exactly."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-
-    def rounded(counts: DataFrame) -> DataFrame:
-        period, n_sources = PERIOD, counts.count()
-        while period < 2 * n_sources:
-            period *= 2
-        return shares(_roots(counts), period).withColumnRenamed("n", "w")
-
-    return _mixed(docs, rounded, BLOCK).select("_row.*", *OWN)
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"))
 
 
+# The law played slot by slot: of the blocks released, the one that is due first; no period, no gcd.
 SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's:' || source END AS src FROM documents),
-c AS (SELECT src, CAST(floor(sqrt(CAST(count(*) AS DOUBLE)) * 1000) AS BIGINT) AS w FROM d GROUP BY src),
-e AS (SELECT src, w, ({PERIOD} - count(*) OVER ()) AS spare, sum(w) OVER () AS total FROM c),
-f AS (SELECT *, (spare * w) // total AS whole, (spare * w) % total AS rest FROM e),
-sh AS (
-  SELECT src, CAST(1 + whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, src) <= spare - sum(whole) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n FROM f),
-l AS (SELECT list(src ORDER BY src) AS names, list(n ORDER BY src) AS ns FROM sh),
+c AS (SELECT src, count(*) AS n FROM d GROUP BY src),
+e AS (SELECT src, n, greatest(1, CAST(floor({ROOTS} * sqrt(CAST(n AS DOUBLE) / CAST(max(n) OVER () AS DOUBLE))) AS BIGINT)) AS w FROM c),
+f AS (SELECT src, w, CAST(sum(w) OVER () AS BIGINT) AS total, (n + {BLOCK} - 1) // {BLOCK} AS blocks FROM e),
+l AS (SELECT list(src ORDER BY src) AS names, list(w ORDER BY src) AS ws, max(total) AS total, max((blocks * total + w - 1) // w) AS last FROM f),
 run(t, done, pick, j) AS (
-  SELECT 0, list_transform(ns, lambda x: 0::BIGINT), 0::BIGINT, 0::BIGINT FROM l
+  SELECT CAST(0 AS BIGINT), list_transform(ws, lambda x: 0::BIGINT), 0::BIGINT, 0::BIGINT FROM l
   UNION ALL
   SELECT t + 1, list_transform(done, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p, done[p]
-  FROM (SELECT t, done, list_min(list_transform(list_filter(range(1, len(ns) + 1),
-          lambda i: done[i] < ns[i] AND (done[i] * {PERIOD}) // ns[i] <= t),
-          lambda i: {{'due': ((done[i] + 1) * {PERIOD} + ns[i] - 1) // ns[i], 'i': i}})).i AS p
-        FROM run, l WHERE t < {PERIOD})),
-tab AS (SELECT names[pick] AS src, ns[pick] AS n, j, t - 1 AS slot FROM run, l WHERE t > 0),
-i AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id) - 1 AS at FROM d),
-b AS (SELECT i.doc_id, i.source, i.at, i.at // {BLOCK} AS block, sh.n, i.src FROM i JOIN sh USING (src))
-SELECT b.doc_id, b.source, CAST(b.block AS BIGINT) AS block, CAST(tab.slot + (b.block // b.n) * {PERIOD} AS BIGINT) AS slot,
-  CAST((tab.slot + (b.block // b.n) * {PERIOD}) * {BLOCK} + b.at % {BLOCK} AS BIGINT) AS mix_at
-FROM b JOIN tab ON tab.src = b.src AND tab.j = b.block % b.n
+  FROM (SELECT t, done, list_min(list_transform(list_filter(range(1, len(ws) + 1),
+          lambda i: (done[i] * total) // ws[i] <= t),
+          lambda i: {{'due': ((done[i] + 1) * total + ws[i] - 1) // ws[i], 'i': i}})).i AS p
+        FROM run, l WHERE t < last)),
+b AS (SELECT doc_id, source, src, row_number() OVER (PARTITION BY src ORDER BY doc_id) - 1 AS at FROM d)
+SELECT b.doc_id, b.source, CAST(b.at // {BLOCK} AS BIGINT) AS block, CAST(run.t - 1 AS BIGINT) AS slot, CAST((run.t - 1) * {BLOCK} + b.at % {BLOCK} AS BIGINT) AS mix_at
+FROM b, l JOIN run ON run.t > 0 WHERE l.names[run.pick] = b.src AND run.j = b.at // {BLOCK}
 """

@@ -46,7 +46,7 @@ def byte_shards(rows: DataFrame, size: str, bucket: str, order: Sequence[str], n
     placed = (
         packed.withColumn("_start", F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
         .withColumn("_index", F.row_number().over(inside).cast("long") - 1)
-        .join(F.broadcast(starts), "_b")  # one row for each bucket: a number that the caller set
+        .join(F.broadcast(starts), "_b")  # one row for each bucket, so one for about a million rows
         .withColumn("_twice", 2 * (F.col("_bytes0") + F.col("_start")) + F.col("_n"))
         .select(
             "_row",
@@ -72,8 +72,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    n = 4 * tasks(docs.sparkSession)
-    slim = slim.withColumn("_bucket", range_bucket(slim, "doc_id", min(n, 1024)))
+    slim = slim.withColumn("_bucket", range_bucket(slim, "doc_id", 4 * tasks(docs.sparkSession), F.col("text_crc32") / F.lit(2.0**32)))
     return byte_shards(slim, "size", "_bucket", ["doc_id", "text_crc32"], n_shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -152,6 +152,12 @@ def _pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), _PIECE)], schema=_PIECE)
 
 
+def _slices(batches, rows: int = 1_000):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _named(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Names of all positions of the pieces put together, and where each piece starts."""
     every = pieces.to_pylist()
@@ -165,9 +171,7 @@ _CORE = pa.schema([("name", pa.int64()), ("whole", pa.int64()), ("key", pa.int64
 
 def _cores(batches):
     """A row for each STEP places of the anchors in their windows; those that may help others count twice."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _slices(batches):
         key, at, width, off, kind = (np.asarray(batch.column(i)) for i in range(5))
         half, base = _named(batch.column(5))
         last = base + width
@@ -191,9 +195,7 @@ _HALF = pa.schema([("name", pa.int64()), ("key", pa.int64()), ("at", pa.int64())
 
 def _halves(batches):
     """Both halves of each window of the places that are left; those that may help others count twice."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _slices(batches):
         key, anchor = (np.asarray(batch.column(i)) for i in range(2))
         half, base = _named(batch.column(2))
         found = batch.column(3).to_pylist()
@@ -302,9 +304,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def _decided(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ranges of windows that are repeated whole, and those that stay open or may help open ones, the first of equal ones alone."""
-    whole = left.groupBy("name", "whole").agg(F.sum("m").alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    groups = whole.groupBy("name").agg((F.min("n") == 1).alias("open"), F.sum("n").alias("total")).where("total > 1").drop("total")
-    told = saved(whole.join(groups, "name").where("n > 1 or open"), "told")
+    whole = saved(left.groupBy("name", "whole").agg(F.sum("m").alias("n"), F.min(F.struct("key", "at")).alias("one")), "wholes")
+    groups = whole.groupBy("name").agg((F.min("n") == 1).alias("open"), F.sum("n").alias("total"), F.count("*").alias("c")).where("total > 1").drop("total")
+    told = saved(split_join(whole, saved(groups, "groups"), ["name"], "c").drop("c").where("n > 1 or open"), "told")
     kinds = saved(split_join(left, told, ["name", "whole"], "n"), "kinds")
     many = kinds.where("n > 1").select("key", "at", "width", "more")
     rest = kinds.where("open and (n = 1 or one = struct(key, at))")

@@ -299,31 +299,39 @@ def test_shards_are_contiguous_and_even(spark, tricky):
     assert [r["text_crc32"] for r in rows] == [zlib.crc32((t or "").encode()) for t in texts]
 
 
-def test_mix_stays_within_a_block(spark):
-    sources = ["a"] * 160 + ["b"] * 80 + ["c"] * 40 + [None] * 40
-    docs = docs_of(spark, ["x"] * 320, sources)
-    rows = mixing.mix(docs, {"a": 4, "b": 2, "c": 1, None: 1}, block=2, period=16).orderBy("mix_at").collect()
-    assert len({r["mix_at"] for r in rows}) == 320
-    shares = {"a": 7, "b": 4, "c": 2, None: 2}
+@pytest.mark.parametrize("weights", [{"a": 4, "b": 2, "c": 1, None: 1}, {"big": 900, **{f"s{k}": 1 for k in range(100)}}])
+def test_mix_stays_within_a_block(spark, weights):
+    total = sum(weights.values())
+    blocks = {k: 2 * w for k, w in weights.items()}  # two periods of blocks of two rows
+    sources = [k for k, n in blocks.items() for _ in range(2 * n)]
+    docs = docs_of(spark, ["x"] * len(sources), sources)
+    rows = mixing.mix(docs, weights, block=2).orderBy("mix_at").collect()
+    assert len({r["mix_at"] for r in rows}) == len(sources)
     slots = {}
     for r in rows:
-        slots.setdefault(r["slot"], r["source"])
-    n = {s: 0 for s in shares}
-    per = collections.Counter(slots[t] for t in range(16))
-    assert sum(per.values()) == 16
-    for t in range(64):
-        n[slots[t]] += 1
-        for s in n:
-            assert abs(n[s] - (t + 1) * per[s] / 16) < 1
-    again = mixing.mix(docs, {"a": 4, "b": 2, "c": 1, None: 1}, block=2, period=16).orderBy("mix_at").collect()
-    assert rows == again
+        assert slots.setdefault(r["slot"], r["source"]) == r["source"]
+    served = dict.fromkeys(weights, 0)
+    for t in range(2 * total):
+        served[slots[t]] += 1
+        assert all(abs(total * served[s] - (t + 1) * w) < total for s, w in weights.items())
+    assert rows == mixing.mix(docs, weights, block=2).orderBy("mix_at").collect()
+
+
+def test_buckets_ascend_and_split_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(common, "BUCKET_ROWS", 50)
+    rows = [(None, k) for k in range(900)] + [(7, k) for k in range(900)] + [(k, 0) for k in range(2000)] + [(10**12 + k, 0) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, k long").withColumn("h", common.unit(common.F.xxhash64("k")))
+    got = df.withColumn("b", common.range_bucket(df, "doc_id", 16, common.F.col("h"))).collect()
+    ordered = sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+    assert [r["b"] for r in ordered] == sorted(r["b"] for r in got)
+    assert max(collections.Counter(r["b"] for r in got).values()) < 400
 
 
 @pytest.mark.parametrize("weights", [{"a": 4, "b": 2, "c": 1, None: 1}, {"a": 999, "b": 1}, {"a": 35, "b": 3, "c": 2, None: 7}])
 def test_mix_keeps_the_given_weights(spark, weights):
     total, size = sum(weights.values()), 60
     sources = [k for k, w in weights.items() for _ in range(-(-size * 20 * w // total))]
-    rows = mixing.mix(docs_of(spark, ["x"] * len(sources), sources), weights, block=1, period=16).collect()
+    rows = mixing.mix(docs_of(spark, ["x"] * len(sources), sources), weights, block=1).collect()
     assert len({r["mix_at"] for r in rows}) == len(rows)
     for s, w in weights.items():
         slots = sorted(r["slot"] for r in rows if r["source"] == s)
