@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import range_bucket, saved, tasks
+from tessera.llm.common import range_bucket, saved, tasks, unit
 from tessera.llm.decontamination import without_contaminated
 from tessera.llm.jaccard import classed
 from tessera.llm.mixing import in_mix_order
@@ -62,11 +62,12 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "shard", "slot")]
     if docs.inputFiles():
-        rows = docs.select(*own, size, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        name = F.col("_metadata.file_name")  # part-<number>-..., which counts further than five digits
+        rows = docs.select(*own, size, F.concat(F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 19, "0"), name).alias("_file"), F.col("_metadata.row_index").alias("_row"))
         return byte_shards(rows, "size", "_file", ["_row"]).drop("_file", "_row")
     rows = docs.select(*own, size)
-    rows = rows.withColumn("_bucket", range_bucket(rows, "doc_id", tasks(spark)))
-    return byte_shards(rows, "size", "_bucket", ["doc_id"]).drop("_bucket")
+    rows = rows.withColumn("_bucket", range_bucket(rows, "doc_id", tasks(spark), unit(F.xxhash64("text")))).withColumn("_h", F.xxhash64("text"))
+    return byte_shards(rows, "size", "_bucket", ["doc_id", "_h"]).drop("_bucket", "_h")
 
 
 STAGES = [
