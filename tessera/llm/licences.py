@@ -86,6 +86,37 @@ PUBLISHED = {
     _FSF.format("lesser ", "3"): "lgpl_terms",
     _FSF.format("lesser ", "2 1"): "lgpl_terms",
     "this library is free software": "gpl_free",
+    _FSF.format("affero ", "3"): "agpl3_terms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl_terms",
+    "either version 2 1 of the license or at your option any later version": "lgpl21_later",
+    "gnu general public license": "gpl_title",
+    "gnu lesser general public license": "lgpl_title",
+    "gnu affero general public license": "agpl_title",
+    "version 3 29 june 2007": "fsf_v3",
+    "version 2 june 1991": "fsf_v2",
+    "version 2 1 february 1999": "fsf_v21",
+    "version 3 19 november 2007": "fsf_affero3",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_grant",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software": "zlib_origin",
+    "the origin of this software must not be misrepresented": "zlib_origin",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "zlib_altered",
+    "this notice may not be removed or altered from any source distribution": "zlib_notice",
+    "boost software license version 1 0 august 17th 2003": "bsl_title",
+    "distributed under the boost software license version 1 0": "bsl_ref",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd_advertising",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2_ref",
+    "mozilla public license version 2 0": "mpl2_title",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2_copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2_copy",
+    "eclipse public license v 2 0": "epl2_title",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2_ref",
+    "creative commons legal code": "cc_code",
+    "cc0 1 0 universal": "cc0_title",
+    "creative commons attribution 4 0 international public license": "ccby4_title",
+    "creative commons attribution sharealike 4 0 international public license": "ccbysa4_title",
+    "creative commons attribution noncommercial 4 0 international public license": "ccbync4_title",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense_grant",
 }
 PUBLISHED_RULES = [
     (("gpl_free", "gpl3_terms"), "GPL-3.0-or-later"),
@@ -95,6 +126,31 @@ PUBLISHED_RULES = [
     (("reserved", "mit_grant", "mit_notice", "as_is"), "MIT"),
     (("mit_grant", "mit_notice", "as_is"), "MIT"),
     (("mit_grant", "mit_notice"), "MIT"),
+    (("gpl_free", "agpl3_terms"), "AGPL-3.0-or-later"),
+    (("gpl_free", "agpl_terms", "gpl3_later"), "AGPL-3.0-or-later"),
+    (("gpl_free", "lgpl_terms", "lgpl21_later"), "LGPL"),
+    (("gpl_free", "lgpl_terms", "gpl3_later"), "LGPL"),
+    (("gpl_title", "fsf_v3"), "GPL-3.0"),
+    (("gpl_title", "fsf_v2"), "GPL-2.0"),
+    (("lgpl_title", "fsf_v3"), "LGPL"),
+    (("lgpl_title", "fsf_v21"), "LGPL"),
+    (("agpl_title", "fsf_affero3"), "AGPL-3.0"),
+    (("isc_grant",), "ISC"),
+    (("zlib_grant", "zlib_origin"), "Zlib"),
+    (("bsl_title",), "BSL-1.0"),
+    (("bsl_ref",), "BSL-1.0"),
+    (("reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_advertising"), "BSD-4-Clause"),
+    (("bsd_grant", "bsd_source", "bsd_binary", "bsd_advertising"), "BSD-4-Clause"),
+    (("mpl2_ref", "mpl2_copy"), "MPL-2.0"),
+    (("mpl2_title",), "MPL-2.0"),
+    (("epl2_title",), "EPL-2.0"),
+    (("epl2_ref",), "EPL-2.0"),
+    (("cc_code", "cc0_title"), "CC0-1.0"),
+    (("cc0_title",), "CC0-1.0"),
+    (("ccby4_title",), "CC-BY-4.0"),
+    (("ccbysa4_title",), "CC-BY-SA-4.0"),
+    (("ccbync4_title",), "CC-BY-NC-4.0"),
+    (("unlicense_ref", "unlicense_grant"), "Unlicense"),
 ]
 _ALL_LONGEST_FIRST = sorted(RULES + PUBLISHED_RULES, key=lambda r: -len(r[0]))
 _ENDS, _LINES = _CUT.rsplit("|[", 1)[0], r"[\r\n|]+"

@@ -52,9 +52,9 @@ def schedule(weights: list[int], blocks: list[int]) -> tuple[int, np.ndarray, np
 
 def _roots(counts: DataFrame) -> DataFrame:
     """Weights in proportion to the root of a source's rows, ``ROOTS`` for the largest and 1 at least."""
-    most = counts.agg(F.max("c").alias("most"))
-    root = F.floor(ROOTS * F.sqrt(F.col("c").cast("double") / F.col("most").cast("double")))
-    return counts.crossJoin(F.broadcast(most)).select("src", F.greatest(root, F.lit(1)).cast("long").alias("w"))  # one row
+    most = F.max("c").over(Window.partitionBy())  # of a row for each source
+    root = F.floor(ROOTS * F.sqrt(F.col("c").cast("double") / most.cast("double")))
+    return counts.select("src", F.greatest(root, F.lit(1)).cast("long").alias("w"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block: int = BLOCK) -> DataFrame:
@@ -115,7 +115,10 @@ def _mixed(docs: DataFrame, law, block: int) -> DataFrame:
 
 
 def in_mix_order(docs: DataFrame) -> DataFrame:
-    """``docs`` range-partitioned and sorted into the mix, with its own columns."""
+    """``docs`` range-partitioned and sorted into the mix, with its own columns, whatever their names.
+
+    Null ids come first in their source, and rows alike in id and text follow one another. An empty table stays empty.
+    """
     n = tasks(docs.sparkSession)
     return _mixed(docs, _roots, BLOCK).repartitionByRange(n, "mix_at").sortWithinPartitions("mix_at").select("_row.*")
 

@@ -5,8 +5,8 @@ A record is: length of its payload (unsigned 64 bits), masked checksum of these
 crc32, masked by rotating it 15 bits to the right and adding a constant. The payload is the
 document's id (signed 64 bits), a flag byte, and its token ids in 16 bits, or in 32 bits where the
 vocabulary has more than 65,536. The flag tells width and whether the id is null.
-The index, a Parquet table beside the files, has each record's file and offset, so a
-reader can fetch records in any order.
+The index, a Parquet table beside the files, has each record's file and offset, and
+``fetch_records`` reads records by it in any order.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .common import chunks, fresh_path, tasks
 END_ID = 1
 _MASK = 0xA282EAD8
 _WIDE, _NULL = 1, 2
+#: Records and bytes after which a task begins a new file: what it holds of the index is bounded by these.
+FILE_RECORDS, FILE_BYTES = 50_000, 256 << 20
 #: Words in each of the two generations that a worker remembers.
 REMEMBERED = 500_000
 #: Letters that have one composed form and one lower case, with at most one mark after them that no rule joins to them.
@@ -149,10 +151,14 @@ def word_ids(path: str) -> WordIds:
 
 
 def _open(uri: str):
+    """The file system and path of a Hadoop-style address."""
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3" + uri[3:]
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-INDEX = "part int, seq long, doc_id long, file string, at long, n_bytes long, n_tokens long"
+INDEX = "part long, seq long, doc_id long, file string, at long, n_bytes long, n_tokens long"
+_INDEX = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -160,8 +166,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
 
     A null text is empty and has the end id alone; null doc_ids come first; rows of one doc_id
     follow by the text's hash. An empty table gives an empty index. Other columns are not read.
-    A task writes one file under a name of its own and names it in the index only when complete,
-    so what a lost or repeated task leaves behind is not part of the result.
+    ``part`` ascends over the files. A task writes its files under names of their own and names each in
+    the index only when complete, so what a lost or repeated task leaves behind is not part of the result.
     """
     spark = docs.sparkSession
 
@@ -171,28 +177,35 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
 
         from pyspark import TaskContext
 
-        gc.disable()  # the words' codes hold no cycles, and there are many
-
-        part = TaskContext.get().partitionId()
+        first = TaskContext.get().partitionId() << 32
         ids = word_ids(tokenizer)
         end = np.array([end_id], ids.kind).tobytes()
         store, top = _open(folder)
-        uri = f"part-{part:06d}-{uuid.uuid4().hex}.rec"
-        rows, out, at, seq = [], None, 0, 0
-        for piece in chunks(batches, 4 << 20):
-            if out is None:
-                store.create_dir(top, recursive=True)
-                out = store.open_output_stream(f"{top}/{uri}")
-            for doc_id, code in zip(piece["doc_id"], ids.many([t or "" for t in piece["text"]])):
-                record = framed(packed(doc_id, code + end, ids.wide))
-                out.write(record)
-                rows.append((part, seq, doc_id, uri, at, len(record), (len(code) + len(end)) // len(end)))
-                at, seq = at + len(record), seq + 1
-        gc.enable()
-        if out is not None:
+        n_files, out, rows, at = 0, None, [], 0
+
+        def closed() -> pa.RecordBatch:
             out.close()
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in INDEX.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _INDEX)], schema=_INDEX)
+
+        gc.disable()  # the words' codes hold no cycles, and there are many
+        try:
+            for piece in chunks(batches, 4 << 20):
+                if out is not None and (len(rows) >= FILE_RECORDS or at >= FILE_BYTES):
+                    yield closed()
+                    out = None
+                if out is None:
+                    part, uri = first + n_files, f"part-{first >> 32:06d}-{n_files:06d}-{uuid.uuid4().hex}.rec"
+                    store.create_dir(top, recursive=True)
+                    out, rows, at, n_files = store.open_output_stream(f"{top}/{uri}"), [], 0, n_files + 1
+                for doc_id, code in zip(piece["doc_id"], ids.many([t or "" for t in piece["text"]])):
+                    record = framed(packed(doc_id, code + end, ids.wide))
+                    out.write(record)
+                    rows.append((part, len(rows), doc_id, uri, at, len(record), (len(code) + len(end)) // len(end)))
+                    at += len(record)
+            if out is not None:
+                yield closed()
+        finally:
+            gc.enable()
 
     n = tasks(spark)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -200,11 +213,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-READ = "part int, doc_id long, before long, n_tokens long, ids_crc32 long"
+READ = "part long, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """From the files: per record its part, doc_id, ids before it in the file, number of ids and crc32 of the ids in 32 bits."""
+    kinds, columns = [pa.int64()] * 5, [x.split()[0] for x in READ.split(", ")]
 
     def read(batches):
         store, top = _open(folder)
@@ -216,13 +230,54 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         doc_id, ids = unpacked(payload)
                         rows.append((part, doc_id, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         before += len(ids)
-                kinds = [pa.int32()] + [pa.int64()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in READ.split(", ")])
+                        if len(rows) == 8192:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], columns)
+                            rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], columns)
 
     files = index.select("part", "file").distinct().repartition(tasks(index.sparkSession), "part")
     return files.mapInArrow(read, READ)
 
 
+FETCHED = "place long, doc_id long, ids array<long>"
+
+
+def fetch_records(wanted: DataFrame, folder: str) -> DataFrame:
+    """Single records in any order: ``wanted`` has ``place`` (long) and the index's ``file``, ``at`` and ``n_bytes``.
+
+    Each record is read at its offset and checked; ``place``, such as a position in a shuffled
+    order, comes back with it. Rows of one file are read in the order of their offsets. A record asked
+    for twice comes twice; none asked for, none returned. Null addresses are left out.
+    """
+
+    def read(batches):
+        import io
+
+        store, top = _open(folder)
+        name, stream = None, None
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    rows = []
+                    for place, file, at, size in zip(*batch.slice(start, 512).to_pydict().values()):
+                        if file != name:
+                            if stream is not None:
+                                stream.close()
+                            name, stream = file, store.open_input_file(f"{top}/{file}")
+                        doc_id, ids = unpacked(next(unframed(io.BytesIO(stream.read_at(size, at)))))
+                        rows.append((place, doc_id, ids.tolist()))
+                    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["place", "doc_id", "ids"])
+        finally:
+            if stream is not None:
+                stream.close()
+
+    known = wanted.select("place", "file", "at", "n_bytes").where("file is not null and at is not null and n_bytes is not null")
+    near = known.repartition(tasks(wanted.sparkSession), "file", F.expr(f"at div {FILE_BYTES >> 4}")).sortWithinPartitions("file", "at")
+    return near.mapInArrow(read, FETCHED)
+
+
 def token_records(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Writes the records and reads them back: doc_id, start, n_tokens, ids_crc32."""
     index = write_records(docs, folder, tokenizer)

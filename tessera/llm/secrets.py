@@ -1,7 +1,8 @@
 """Secrets: pattern matches, and encoded keys and signed tokens confirmed by their structure.
 
 Three base kinds are plain patterns. The method adds spans only after decoding a candidate:
-``pem`` and ``der`` parse nested tag-length-value lengths that must end exactly, ``ssh`` the nested
+``pem`` and ``der`` parse nested tag-length-value lengths that must end exactly (``pem`` also
+sealed bodies of whole cipher blocks and armoured packets with their checksum), ``ssh`` the nested
 32-bit lengths of an openssh-key-v1 body, ``jwt`` a signed token's header and claims, and
 ``coded`` base64 or hex that decodes to a text with a base secret in it.
 """
@@ -26,6 +27,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # any run of 32 or more begins where a run begins
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+_SEALED = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s+Proc-Type:\x204,ENCRYPTED\s+DEK-Info:\x20([A-Z0-9-]+),([0-9A-Fa-f]+)\s+([A-Za-z0-9+/=\s]+)-----END \1-----"
+)
+_PGP = re.compile(r"-----BEGIN PGP PRIVATE KEY BLOCK-----[\x20\t]*\r?\n((?:[A-Za-z]+:\x20.*\n)*)\s*([A-Za-z0-9+/\s]+=*)\s+=([A-Za-z0-9+/]{4})\s+-----END PGP PRIVATE KEY BLOCK-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 # The shortest base match, "token:" and 8 more, has 14 bytes: 19 base64 characters or 28 hex digits.
 _RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}={0,2}")
@@ -118,6 +123,32 @@ def is_ssh_key(data: bytes) -> bool:
     return keys > 0 and at == len(data)
 
 
+def is_sealed_key(iv: str, body: str) -> bool:
+    """An encrypted body of whole cipher blocks, whose initial vector has 8 or 16 bytes."""
+    data = decode64(re.sub(r"\s", "", body))
+    return len(iv) in (16, 32) and bool(data) and len(data) % (len(iv) // 2) == 0
+
+
+def is_pgp_key(body: str, check: str) -> bool:
+    """An armoured body with its right 24-bit checksum that begins with a secret-key packet whose length fits."""
+    data, want = decode64(re.sub(r"\s", "", body)), decode64(check)
+    if not data or not want or len(data) < 8:
+        return False
+    crc = 0xB704CE
+    for byte in data:
+        crc ^= byte << 16
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x1864CFB if crc & 0x800000 else 0)
+    if crc != int.from_bytes(want, "big") or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:  # the newer form: a tag of 6 bits, then a length of 1, 2 or 5 bytes
+        n = data[1]
+        size, head = (n, 2) if n < 192 else ((n - 192 << 8) + data[2] + 192, 3) if n < 224 else (int.from_bytes(data[2:6], "big"), 6)
+        return data[0] & 0x3F == 5 and head + size <= len(data)
+    head = 1 << (data[0] & 3)
+    return data[0] >> 2 & 15 == 5 and head < 8 and 1 + head + int.from_bytes(data[1 : 1 + head], "big") <= len(data)
+
+
 def is_signed_token(header: str, claims: str) -> bool:
     """A header object that names its algorithm and claims that are an object."""
     try:
@@ -160,6 +191,8 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
             data = decode64(re.sub(r"\s|\\n|\\r", "", m[2]))
             if data and (is_private_der(data) or is_ssh_key(data)):
                 out.append((m.start(), "pem", m.end()))
+        out += [(m.start(), "pem", m.end()) for m in _SEALED.finditer(text) if is_sealed_key(m[3], m[4])]
+        out += [(m.start(), "pem", m.end()) for m in _PGP.finditer(text) if is_pgp_key(m[2], m[3])]
     if "eyJ" in text:
         out += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     pems = [(s, e) for s, k, e in out if k == "pem"]

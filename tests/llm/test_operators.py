@@ -116,6 +116,75 @@ def test_suffixes_equal_brute_force(spark, tricky):
         assert r["kept_sha256"] == hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
 
 
+def plain_base(text):
+    """Base spans by plain scanning, without patterns."""
+    out, n = [], len(text)
+    same = lambda a, b: len(a) == len(b) and all(x == y or x.isascii() and x.lower() == y for x, y in zip(a, b))
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    at = 0
+    while at < n:
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if end is None and same(text[at : at + len(word)], word):
+                for quoted in (1, 0):
+                    i = at + len(word)
+                    if quoted and (i >= n or text[i] not in "\"'"):
+                        continue
+                    i += quoted
+                    while i < n and text[i] == " ":
+                        i += 1
+                    if i < n and text[i] in ":=":
+                        i += 1
+                        while i < n and text[i] == " ":
+                            i += 1
+                        if i < n and text[i] in "\"'":
+                            i += 1
+                        stop = i
+                        while stop < n and text[stop] in value:
+                            stop += 1
+                        if stop > i:
+                            end = stop
+                            if stop - i >= 8:
+                                out.append((at, "assign", stop))
+                            break
+        at = end or at + 1
+    for kind, head, allowed, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < n:
+            stop = at + len(head)
+            if text[at:stop] == head:
+                while stop < n and text[stop] in allowed:
+                    stop += 1
+            if text[at : at + len(head)] == head and stop > at + len(head):
+                if stop - at >= least:
+                    out.append((at, kind, stop))
+                at = stop
+            else:
+                at += 1
+    return out
+
+
+def test_secrets_against_plain_scan(spark, small_tables):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small_tables}/documents.parquet").collect()}
+    odd = ["password'=\"'x", "TOKEN  :  abcdefgh9", "token=short token = longenough1", "AKIA" * 6, "tokentoken=12345678", "apikey=abcdefgh secret:", "a" * 31 + "g" + "b" * 32, 'passwd":"x=1234567', "ſecret=abcdefgh"]
+    texts.update({-k - 1: t for k, t in enumerate(odd)})
+    got = {r["doc_id"]: r for r in secrets.secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, t in texts.items():
+        base = plain_base(t)
+        order = sorted(base, key=lambda x: (x[0], ("assign", "access", "hex").index(x[1])))
+        r = got[i]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for _, k, _ in base) for x in ("assign", "access", "hex")], i
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in order).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert {f"{k}:{a}:{b}" for a, k, b in base} <= set(spans)
+        for kind, a, b in (s.split(":") for s in spans):
+            part = t[int(a) : int(b)]
+            if kind == "pem":
+                assert part.startswith("-----BEGIN") and part.endswith("-----")
+            elif kind == "jwt":
+                assert part.count(".") == 2
+
+
 def test_contamination_in_passes_is_the_same(spark, tricky, monkeypatch):
     docs = docs_of(spark, tricky)
     items = spark.createDataFrame([(1, tricky[0][20:300]), (2, tricky[4][:260]), (3, "a b c d"), (3, "a b c d"), (None, "short"), (5, None), (6, "")], "item_id long, text string")
@@ -223,6 +292,14 @@ NOTICES = [
     (APACHE, "Apache-2.0", {"apache2_ref", "apache2_comply", "apache2_copy"}),
     (GPL.format(":", ",", 3), "GPL-3.0-or-later", {"gpl_free", "gpl3_terms"}),
     (GPL.format(";", ";", 2), "GPL-2.0-or-later", {"gpl_free", "gpl_terms", "gpl2_later"}),
+    (GPL.format(":", ",", 3).replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later", {"gpl_free", "agpl3_terms"}),
+    (GPL.format(";", ";", 3).replace("GNU General", "GNU Lesser General").replace("program", "library"), "LGPL", {"gpl_free", "lgpl_terms", "gpl3_later"}),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Somebody\n", "GPL-3.0", {"gpl_title", "fsf_v3"}),
+    ("Copyright (c) 2020 A Person\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nOther words.\n", "ISC", {"isc_grant"}),
+    ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote the original software.\n", "Zlib", {"zlib_grant", "zlib_origin"}),
+    ("// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file)\n", "BSL-1.0", {"bsl_ref"}),
+    ("# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/.\n", "MPL-2.0", {"mpl2_ref", "mpl2_copy"}),
+    ("CC0 1.0 Universal\n", "CC0-1.0", {"cc0_title"}),
     ("MIT License\nnext line\nLicensed under\nCC BY 4.0", "CC-BY-4.0,MIT", {"mit_title", "ccby4_ref"}),
 ]
 
@@ -372,6 +449,22 @@ def test_records_equal_the_library(spark, small_tables):
         start += len(ids)
 
 
+def test_records_are_fetched_in_any_order(spark, small_tables, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    lib = records.word_ids(path).lib
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet").where("doc_id < 60").selectExpr("*", "'x' AS file", "1 AS at", "2 AS part")
+    folder = common.fresh_path(spark, "r")
+    index = records.write_records(docs, folder, path)
+    every = index.select("doc_id", "file", "at", "n_bytes").collect()
+    random.Random(3).shuffle(every)
+    wanted = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(every[:40] + every[:5])] + [(99, None, None, None)], "place long, file string, at long, n_bytes long")
+    got = {r["place"]: (r["doc_id"], r["ids"]) for r in records.fetch_records(wanted, folder).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got == {k: (r["doc_id"], [*lib.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 1]) for k, r in enumerate(every[:40] + every[:5])}
+    assert records.fetch_records(wanted.limit(0), folder).count() == 0
+
+
 def test_records_of_nulls_and_nothing(spark):
     P = pytest.importorskip("public_tokenizers")
     path = P.path("word_bpe_49k.json")

@@ -78,6 +78,23 @@ def test_coded_secrets_of_any_text(secret):
         assert ("coded", run) in {(k, text[a:b]) for a, k, b in secrets.confirmed_spans(text)}, run
 
 
+def test_sealed_and_armoured_keys():
+    body = base64.encodebytes(bytes(range(256)) * 2).decode()
+    sealed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{{}}-----END RSA PRIVATE KEY-----"
+    assert "pem" in kinds(sealed.format(body))
+    assert "pem" not in kinds(sealed.format(base64.encodebytes(bytes(range(250))).decode()))
+    packet = bytes([0xC5, 40]) + bytes(range(40))
+    crc = 0xB704CE
+    for byte in packet:
+        crc ^= byte << 16
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x1864CFB if crc & 0x800000 else 0)
+    check = base64.b64encode(crc.to_bytes(3, "big")).decode()
+    armoured = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n{base64.encodebytes(packet).decode()}={{}}\n-----END PGP PRIVATE KEY BLOCK-----"
+    assert "pem" in kinds(armoured.format(check))
+    assert "pem" not in kinds(armoured.format("AAAA"))
+
+
 def test_coded_secrets_over_lines():
     raw = b"HOST=example.org\nUSER=someone\nMODE=production\nNAME=xyz\npassword=hunter2hunter2\nLAST=1\n"
     body = base64.encodebytes(raw).decode().rstrip("\n")
@@ -141,6 +158,44 @@ def test_exceptions_and_length():
     assert lex.score("trash") > lex.score("trash " + "fine " * 500)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["moron", "moronic", "trash", "can", "scum", "pond", "sc", "mor", "idiot"]), max_size=12))
+def test_automaton_equals_plain_search(words):
+    lex = toxicity.Lexicon({" trash ": 3.0, " moron": 2.0, " scum ": 1.5, " mor": 1.0, " idiot ": 2.5})
+    plain = toxicity.folded(" ".join(words))
+    every = lambda e: [i for i in range(len(plain)) if plain.startswith(e, i)]
+    shields = [(i, i + len(e)) for e in lex.exceptions for i in every(f" {e}")]
+    best = {}
+    for e, w in lex.weights.items():
+        for i in every(e):
+            if i not in best or best[i][2] < w:
+                best[i] = (i + len(e) - 1, e, w)
+    want = [m for i, m in sorted(best.items()) if not any(a <= i and m[0] - m[1].endswith(" ") <= b for a, b in shields)]
+    assert lex.matches(plain) == want
+
+
+def test_marks_over_letters_are_folded():
+    assert toxicity.folded("Mörön, İdïot") == " moron idiot "
+
+
+def test_ratio_is_chosen_inside_the_rows():
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = []
+    for k in range(600):
+        words = [word() for _ in range(15)]
+        toxic = k % 3 == 0
+        if toxic:
+            words[2] = "zorgle"
+        elif k % 7 == 0:
+            words[2] = "fribble"
+        if toxic and k % 2:
+            words[5] = "fribble"
+        rows.append((" ".join(words), int(toxic)))
+    lex = toxicity.fit(rows)
+    assert sum((lex.score(t) >= 0.5) != y for t, y in rows) == 0
+
+
 def test_fit_learns_words_and_beginnings():
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
