@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dense
+from ..functions.sparse import SparseFactor
 from ..plans.problem import RetCode
 
 
@@ -123,8 +124,13 @@ def single_task(df: DataFrame, b: DataFrame, shape: tuple[int, int], kernel: str
     rows = df.select("i", "j", F.col("v").cast("double"), F.lit(None).cast("double").alias("x")).unionByName(b.select("i", F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("v"), F.col("x").cast("double")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, y = np.zeros(shape), np.zeros(shape[0])
+        y = np.zeros(shape[0])
         e, r = pdf[pdf["j"].notna()], pdf[pdf["j"].isna()]
+        if kernel == "sparse_lu" and shape[0] == shape[1]:
+            np.add.at(y, r["i"].to_numpy(int), r["x"].to_numpy(float))
+            u, code = SparseFactor(e["i"].to_numpy(int), e["j"].to_numpy(int), e["v"].to_numpy(float), shape[0]).solve(y)
+            return pd.DataFrame({"i": np.arange(len(u)), "u": u, "retcode": code.value})
+        a = np.zeros(shape)
         np.add.at(a, (e["i"].to_numpy(int), e["j"].to_numpy(int)), e["v"].to_numpy(float))
         np.add.at(y, r["i"].to_numpy(int), r["x"].to_numpy(float))
         u, code, _ = rescued(kernel, a, y, safety)

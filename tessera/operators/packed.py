@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,17 +29,17 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (i, j, v)], ["i", "j", "v"])
 
 
-def packed_operator(a: Coo) -> Operator:
+def packed_operator(a: Coo, local: int = LOCAL_ENTRIES) -> Operator:
     """``a`` as functions on NumPy vectors.
 
-    Up to LOCAL_ENTRIES entries, which are counted first, are kept on the driver. More stay in
+    Up to ``local`` entries, which are counted first, are kept on the driver. More stay in
     executors as blocks of rows; a product broadcasts the vector, whose length is checked, and
     gathers one partial sum for each row that a block has.
     """
     if max(a.shape) > DRIVER_UNKNOWNS:
         raise ValueError(f"{max(a.shape)} unknowns; vectors on the driver take {DRIVER_UNKNOWNS}. Use table_cg")
     entries = a.entries()
-    if entries.limit(LOCAL_ENTRIES + 1).count() <= LOCAL_ENTRIES:
+    if local and entries.limit(local + 1).count() <= local:
         i, j, v = local_array(entries)
         return Operator(a.shape, _product(a.shape, i, j, v), _product(a.shape[::-1], j, i, v))
     spark = a.df.sparkSession
@@ -56,8 +58,9 @@ def packed_operator(a: Coo) -> Operator:
                     yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["i", "y"])
 
         out = np.zeros(a.shape[0] if rows == "i" else a.shape[1])
-        for r in packed.mapInArrow(multiply, "i binary, y binary").toLocalIterator():
-            np.add.at(out, np.frombuffer(r["i"], np.int64), np.frombuffer(r["y"]))
+        parts = packed.mapInArrow(multiply, "i binary, y binary").toArrow()  # one job; a partial sum for each row that a block has
+        for i, y in zip(parts["i"].to_pylist(), parts["y"].to_pylist()):
+            out += np.bincount(np.frombuffer(i, np.int64), np.frombuffer(y), len(out))
         shared.unpersist()
         return out
 
@@ -73,10 +76,13 @@ def table_cg(a: DataFrame, b: DataFrame, steps: int, tolerance: float = 0.0) ->
     from .algebra import matvec
 
     spark = a.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        spark.sparkContext.setCheckpointDir(folder)
+    elif spark.sparkContext.master.startswith("local"):
         spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
+    else:
+        raise ValueError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
     state = b.select("i", F.lit(0.0).alias("u"), F.col("x").alias("r"), F.col("x").alias("p")).checkpoint()
     rr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
     limit, k = tolerance * tolerance * rr, 0

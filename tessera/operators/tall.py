@@ -35,13 +35,13 @@ def tall_r(table: DataFrame, columns: list[Column]) -> np.ndarray:
     if n > 256:
         parts = parts.repartition(64).mapInArrow(factors, "r binary")
     r = np.zeros((0, p))
-    for row in parts.toLocalIterator():
-        r = np.linalg.qr(np.vstack([r, np.frombuffer(row["r"]).reshape(-1, p)]), mode="r")
+    for one in parts.toArrow()["r"].to_pylist():  # 256 factors at most, from one job
+        r = np.linalg.qr(np.vstack([r, np.frombuffer(one).reshape(-1, p)]), mode="r")
     return r
 
 
-def tall_least_squares(table: DataFrame, features: list[Column], target: Column) -> tuple[np.ndarray, RetCode]:
-    """Coefficients without forming X'X; where columns depend on each other, the shortest."""
+def tall_least_squares(table: DataFrame, features: list[Column], target: Column, kernel: str = "qr") -> tuple[np.ndarray, RetCode]:
+    """Coefficients without forming X'X; where columns depend on each other, the shortest. ``kernel`` solves with the triangular factor."""
     n = len(features)
     r = tall_r(table, [*features, target])
     if len(r) < n:
@@ -50,4 +50,4 @@ def tall_least_squares(table: DataFrame, features: list[Column], target: Column)
     # Rounding over many rows leaves a dependent column's pivot above the bound for one small matrix.
     if d.min() <= DEPENDENT * d.max():
         return dense.pivoted_qr(r[:n, :n], r[:n, n], DEPENDENT)
-    return dense.qr(r[:n, :n], r[:n, n])
+    return dense.KERNELS[kernel](r[:n, :n], r[:n, n])

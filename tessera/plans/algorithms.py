@@ -70,7 +70,7 @@ _KRYLOV = {
     "craigmr": "KrylovJL_CRAIGMR",
 }
 #: Names whose preconditioners are refused rather than dropped.
-NO_PRECONDITIONER = ("KrylovJL_CRAIGMR", "KrylovJL_MINARES", "IterativeSolversJL_MINRES", "KrylovKitJL", "KrylovKitJL_CG", "KrylovKitJL_GMRES")
+NO_PRECONDITIONER = (*krylov.UNPRECONDITIONED, "KrylovJL_CRAIGMR", "KrylovJL_MINARES", "IterativeSolversJL_MINRES", "KrylovKitJL", "KrylovKitJL_CG", "KrylovKitJL_GMRES")
 #: Iterations that the first matrix's factor preconditions, for later matrices too.
 FROZEN_LU = ("MKLPardisoIterate", "PanuaPardisoIterate")
 LEFT_ONLY = ("KrylovJL_CG", "KrylovJL_MINRES", "ConjugateGradientsJL_CG")
@@ -91,15 +91,15 @@ def _registry() -> dict[str, Algorithm]:
         rectangular = method in krylov.LEAST_SQUARES or method in krylov.LEAST_NORM
         for n in names.split():
             out[n] = Algorithm(n, "krylov", method, needs_concrete=False, needs_square=not rectangular, adjoint="krylov")
-    for method in (*krylov.METHODS, *krylov.NOT_YET):
-        rectangular = method in krylov.LEAST_SQUARES or method in krylov.LEAST_NORM
+    for method in krylov.METHODS:
+        rectangular = method in (*krylov.LEAST_SQUARES, *krylov.LEAST_NORM, *krylov.COUPLED, "usymlq", "usymqr", "trilqr")
         out[method] = Algorithm(method, "krylov", method, needs_concrete=False, needs_square=not rectangular, adjoint="krylov")
     out["DiagonalFactorization"] = Algorithm("DiagonalFactorization", "diagonal")
     out["DirectLdiv"] = Algorithm("DirectLdiv", "ldiv", needs_square=False)
     out["LHLFactorization"] = Algorithm("LHLFactorization", "lhl", options={"refine": 1})
-    out["AlgebraicMultigridJL"] = Algorithm("AlgebraicMultigridJL", "multigrid", "aggregation", note="two grids of aggregates as a preconditioner of cg; the residual is checked")
-    for n in ("PyAMG", "PyAMG_RugeStuben", "PyAMG_SmoothedAggregation"):
-        out[n] = Algorithm(n, "multigrid", "aggregation")
+    out["AlgebraicMultigridJL"] = Algorithm("AlgebraicMultigridJL", "multigrid", "aggregation", note="a V-cycle over smoothed aggregates as a preconditioner of cg; the residual is checked")
+    for n, kind in (("PyAMG", "classical"), ("PyAMG_RugeStuben", "classical"), ("PyAMG_SmoothedAggregation", "aggregation")):
+        out[n] = Algorithm(n, "multigrid", kind)
     return out
 
 
@@ -110,8 +110,7 @@ def algorithm(name: str, **options) -> Algorithm:
     if name not in ALGORITHMS:
         raise ValueError(f"no algorithm {name!r}; see algorithm_names()")
     found = ALGORITHMS[name]
-    if found.kernel in krylov.NOT_YET:
-        raise NotImplementedError(f"{name}: systems of two coupled blocks are not solved here")
+    check_control(options.get("control", {}))
     return found.with_options(**options) if options else found
 
 
@@ -125,26 +124,16 @@ def solve_function(f: Callable, name: str = "LinearSolveFunction") -> Algorithm:
 
 
 def generic_factorization(f: Callable) -> Algorithm:
-    """``f(a)`` returns a function that solves with the factor."""
-    return Algorithm("GenericFactorization", "direct", lambda a, b: _factor_solve(f, a, b), needs_square=False, adjoint="none")
-
-
-def _factor_solve(f, a, b):
-    import numpy as np
+    """``f(a)`` returns a function that solves with the factor; it is called once for each matrix."""
+    from ..functions.factors import Given
 
-    from .problem import RetCode
+    return Algorithm("GenericFactorization", "direct", lambda a: Given(f, a), needs_square=False, adjoint="none")
 
-    try:
-        u = f(a)(b)
-    except np.linalg.LinAlgError:
-        return np.zeros((a.shape[1], *b.shape[1:])), RetCode.FAILURE
-    return u, RetCode.SUCCESS if np.isfinite(u).all() else RetCode.FAILURE
 
-
-#: Keys of the sparse control table, as the reference interface has them.
+# Keys of the sparse control table.
 CONTROL_KEYS = (
-    "pivot_tolerance", "block_size", "strategy", "alloc_init", "irstep", "ordering", "fixq", "sym_pivot_tolerance", "scale",
-    "front_alloc_init", "droptol", "aggressive", "singletons", "dense_row", "dense_col",
+    "prl", "dense_row", "dense_col", "block_size", "ordering", "fixq", "amd_dense", "aggressive", "singletons", "alloc_init",
+    "sym_pivot_tolerance", "scale", "front_alloc_init", "droptol", "irstep",
 )
 
 
@@ -154,6 +143,14 @@ def check_control(control: dict[str, float]) -> None:
         raise ValueError(f"no such control key: {', '.join(unknown)}")
 
 
+def user_algorithm(own) -> Algorithm:
+    """An object of a user's class: ``init_cache(A, b)`` is called for each new matrix, ``solve(cache, A, b, u)`` for each right-hand side."""
+    issues = check_algorithm(type(own))
+    if issues:
+        raise TypeError("; ".join(issues))
+    return Algorithm(type(own).__name__, "user", own, needs_concrete=getattr(own, "needs_concrete", True), needs_square=getattr(own, "needs_square", True), adjoint="none")
+
+
 def check_algorithm(cls) -> list[str]:
     """What a user's algorithm class lacks: ``init_cache`` and ``solve``, and traits of the wrong type."""
     issues = [f"{m} is missing" for m in ("init_cache", "solve") if not callable(getattr(cls, m, None))]
@@ -163,4 +160,4 @@ def check_algorithm(cls) -> list[str]:
     return issues
 
 
-__all__ = ["ALGORITHMS", "Algorithm", "WarmStart", "algorithm", "algorithm_names", "check_algorithm", "check_control", "generic_factorization", "solve_function"]
+__all__ = ["ALGORITHMS", "Algorithm", "WarmStart", "algorithm", "algorithm_names", "check_algorithm", "check_control", "generic_factorization", "solve_function", "user_algorithm"]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import algebra, batched, diff, eigen, krylov, native, precond, reduction, tall
 from ..operators.packed import packed_operator, table_cg
-from ..sources.matrix import Coo, DesignView
+from ..sources.matrix import Coo, DesignView, Operator
 from . import autotune, rules
 from .algorithms import algorithm
 from .problem import Condition, EigenProblem, EigenTarget, LinearProblem, WarmStart
@@ -362,9 +363,88 @@ def _krylov_query(name: str, **options):
     return run
 
 
-for _name in ("cg", "cr", "minres", "gmres", "fgmres", "fom", "bicgstab", "cgs", "qmr", "idrs"):
+_SQUARE = (
+    "cg", "cg_lanczos", "cr", "minres", "minres_qlp", "minares", "symmlq", "gmres", "fgmres", "dqgmres", "fom", "diom", "bicgstab", "cgs", "idrs",
+    "qmr", "bilq", "bilqr", "usymlq", "usymqr", "trilqr",
+)
+for _name in _SQUARE:
     query(_CHAIN_SQL, f"krylov_{_name}")(_krylov_query(_name))
-query(_CHAIN_SQL, "jacobi_cg")(_krylov_query("cg", Pl=lambda a: precond.jacobi(np.full(a.shape[0], 4.0))))
+query(_CHAIN_SQL, "jacobi_cg")(_krylov_query("cg", Pl=lambda a: precond.jacobi_of(a.df, a.shape[0])))
+_SCALED_SQL = _thomas(_CHAIN) + "SELECT r - 1 AS i, round(u / (1 + 10 * ((r - 1) % 7)), 5) AS u FROM g"
+
+
+def _scaled(spark, sf_dir) -> tuple[Coo, DataFrame]:
+    """The chain with rows and columns scaled by 1 to 61: its condition is some thousands."""
+    a, b = _chain(spark, sf_dir)
+    d = lambda c: 1 + 10 * (F.col(c) % 7)
+    return Coo(a.df.select("i", "j", (F.col("v") * d("i") * d("j")).alias("v")), a.shape), b.select("i", (F.col("x") * d("i")).alias("x"))
+
+
+def _scaled_query(name: str, preconditioned: bool):
+    def run(spark, sf_dir):
+        a, b = _scaled(spark, sf_dir)
+        options = {"Pl": precond.jacobi_of(a.df, a.shape[0])} if preconditioned else {}
+        return _as_rows(spark, solve(LinearProblem(a, b), name, abstol=1e-11, reltol=1e-12, maxiters=20_000, **options).u)
+
+    return run
+
+
+for _name in ("cg", "cg_lanczos", "cr", "minres", "symmlq", "gmres", "dqgmres", "diom", "bicgstab", "cgs", "idrs", "qmr", "bilq"):
+    query(_SCALED_SQL, f"scaled_{_name}_jacobi")(_scaled_query(_name, True))
+for _name in ("cg", "minres", "symmlq", "qmr", "bilq"):
+    query(_SCALED_SQL, f"scaled_{_name}")(_scaled_query(_name, False))
+
+
+@query("WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS k, s_acctbal AS x FROM supplier), n AS (SELECT count(*) AS n FROM s) SELECT g.i, round(x / 1000, 5) AS u FROM (SELECT unnest(range(100489)) AS i) g, n JOIN s ON s.k = g.i % n.n")
+def sparse_poisson(spark, sf_dir):
+    """100,489 unknowns of a five-point grid, by the sparse factor: the right-hand side is the grid's product with known values."""
+    k = 317
+    s = table(spark, sf_dir, "supplier")
+    n = s.count()
+    own = s.select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("long").alias("k"), (F.col("s_acctbal") / 1000).alias("x"))
+    u = spark.range(k * k).withColumnRenamed("id", "i").withColumn("k", F.col("i") % n).join(F.broadcast(own), "k").select("i", "x")  # the rows of supplier
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(v).alias("v")) for r, c, v in ((0, 0, 4.0), (0, 1, -1.0), (1, 0, -1.0), (0, -1, -1.0), (-1, 0, -1.0))])
+    near = spark.range(k * k).select(F.col("id").alias("i"), F.expr(f"id div {k}").alias("row"), (F.col("id") % k).alias("col"), F.explode(steps).alias("e"))
+    inside = near.where(f"row + e.r between 0 and {k - 1} and col + e.c between 0 and {k - 1}")
+    a = inside.select("i", F.expr(f"(row + e.r) * {k} + col + e.c").cast("long").alias("j"), F.col("e.v").alias("v"))
+    found = solve(LinearProblem(Coo(a, (k * k, k * k)), algebra.matvec(a, u)), "SupernodalLUFactorization")
+    return spark.createDataFrame(pa.table({"i": np.arange(k * k), "u": found.u})).withColumn("u", F.round("u", 5))
+
+
+@query(_CHAIN_SQL)
+def distributed_product_cg(spark, sf_dir):
+    """Conjugate gradients over products that run in executors, whatever the size."""
+    a, b = _chain(spark, sf_dir)
+    return _as_rows(spark, solve(LinearProblem(packed_operator(a, local=0), b), "cg", abstol=1e-12, reltol=1e-12).u)
+
+
+@query(_CHAIN_SQL.replace("SELECT r - 1 AS i, round(u, 5) AS u FROM g", "SELECT r - 1 AS i, round(u, 5) AS u, round(2 * u, 5) AS t FROM g"))
+def adjoint_pair(spark, sf_dir):
+    """A x = b and A' t = 2 b in one call."""
+    a, b = _chain(spark, sf_dir)
+    x = np.zeros(a.shape[0])
+    for r in b.collect():
+        x[r["i"]] = r["x"]
+    s = solve(LinearProblem(a, b), "bilqr", abstol=1e-12, reltol=1e-12, c=2 * x)
+    return spark.createDataFrame([(k, float(u), float(t)) for k, (u, t) in enumerate(zip(s.u, s.stats["t"]))], "i long, u double, t double").select("i", F.round("u", 5).alias("u"), F.round("t", 5).alias("t"))
+
+
+def _coupled_query(name: str):
+    """x + A y = b and A' x - y = sum of b, where A is a column of ones: y is 0 and x is b."""
+
+    def run(spark, sf_dir):
+        b = np.array([r["x"] for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").select((F.col("s_acctbal") / 1000).alias("x")).collect()])
+        n = len(b)
+        ones = Operator((n, 1), lambda y: np.full(n, float(y[0])), lambda x: np.array([x.sum()]))
+        found = solve(LinearProblem(ones, b), name, abstol=1e-11, reltol=1e-12, c=np.array([b.sum() + n + 1.0]))
+        y = float(found.stats["y"][0])
+        return spark.createDataFrame([(k, float(x), y) for k, x in enumerate(found.u)], "i long, x double, y double").select("i", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+    return run
+
+
+for _name, _y in (("tricg", "-1"), ("trimr", "-1"), ("gpmr", "(n + 1) / (1 - n)")):
+    query(f"WITH b AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal / 1000 AS b FROM supplier), s AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM b) SELECT i, round(b - CAST({_y} AS DOUBLE), 5) AS x, round(CAST({_y} AS DOUBLE), 5) AS y FROM b, s", f"coupled_{_name}")(_coupled_query(_name))
 query(_CHAIN_SQL, "block_jacobi_cg")(_krylov_query("cg", Pl=lambda a: precond.block_jacobi(a.df, a.shape[0], 16)))
 query(_CHAIN_SQL, "composed_preconditioner")(_krylov_query("gmres", Pl=lambda a: precond.composed(precond.jacobi(np.full(a.shape[0], 2.0)), precond.jacobi(np.full(a.shape[0], 2.0)))))
 query(_CHAIN_SQL, "multigrid_cg")(_krylov_query("AlgebraicMultigridJL"))

@@ -98,6 +98,24 @@ class Shifted:
     gamma: float
 
 
+#: Kinds that the default choice knows, for arrays.
+ARRAY_KINDS = ("hermitian", "symmetric", "banded", "almost_banded", "block_diagonal", "static", "tridiagonal", "symtridiagonal", "bidiagonal", "diagonal", "unknown")
+
+
+@dataclass
+class Structured:
+    """An array whose structure is known: ``kind`` is one of ``ARRAY_KINDS``."""
+
+    a: Any
+    kind: str
+    square_blocks: bool = True
+
+    def __post_init__(self):
+        if self.kind not in ARRAY_KINDS:
+            raise ValueError(f"no such kind: {self.kind}")
+        self.a = np.asarray(self.a)
+
+
 def vector(spark: SparkSession, x: Sequence[float]) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double")
 
