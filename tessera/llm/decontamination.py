@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, words_of
+from .common import chunks, saved, words_of
 
 WINDOW = 13
 SAMPLE = 8
 #: UTF-8 bytes of benchmark texts that are broadcast at once; more go in further passes.
-PASS_BYTES = 16 << 20
+PASS_BYTES = 8 << 20
 
 
 class WaveletTree:
@@ -112,7 +112,7 @@ class FmIndex:
             todo = live[lengths[live] > k]
             if not len(todo):
                 break
-            c = patterns[todo, -1 - k] + 1
+            c = patterns[todo, -1 - k].astype(np.int64) + 1
             both = self.tree.rank(np.concatenate([c, c]), np.concatenate([low[todo], high[todo]]))
             low[todo], high[todo] = self.before[c] + both[: len(todo)], self.before[c] + both[len(todo) :]
         return low, np.maximum(low, high)
@@ -137,20 +137,33 @@ class _Numbers(dict):
 
 
 class Patterns:
-    """The distinct windows of some items, and which items have each."""
+    """The distinct windows of some items, and which items have each: 4 bytes for a word of a window, 4 for an item with it.
+
+    Arrays, not objects, as they are broadcast: about 80 bytes for each word of the items.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.numbers = _Numbers()
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({i for i, _ in items})
+        place = {n: k for k, n in enumerate(self.names)}
+        rows, owners = [np.zeros((0, window), np.int32)], []
         for item, text in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.items = list(found.values())
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.matrix = np.zeros((len(found), window), np.int64)
-        for row, p in zip(self.matrix, found):
-            row[window - len(p) :] = p
+            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                ids = np.concatenate([np.zeros(max(0, window - len(ids)), np.int32), ids])  # a shorter item ends at the right edge
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+                owners.append(np.full(len(rows[-1]), place[item], np.int32))
+        every = np.concatenate(rows)
+        self.matrix, which = np.unique(every, axis=0, return_inverse=True)
+        pairs = np.unique(np.column_stack([which.ravel(), np.concatenate(owners)]), axis=0) if owners else np.zeros((0, 2), np.int64)
+        self.owners = pairs[:, 1].astype(np.int32)
+        self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.matrix) + 1))
+        self.lengths = (self.matrix > 0).sum(axis=1)
+
+    def items(self, patterns: list[int]) -> list[str]:
+        """Sorted ids of the items that have any of the windows."""
+        own = [self.owners[self.starts[p] : self.starts[p + 1]] for p in patterns]
+        return [self.names[k] for k in np.unique(np.concatenate(own))] if own else []
 
     def hits(self, texts: list[list[bytes]]) -> dict[int, list[tuple[int, int, int]]]:
         """By text: (first word, word after the last, pattern) of each occurrence."""
@@ -219,7 +232,7 @@ def _found(docs: DataFrame, items: list[tuple[str, str | None]], window: int) ->
                 rows["h"].append(h)
                 rows["n_words"].append(len(words))
                 rows["spans"].append([{"a": a, "b": b} for a, b in merged([(a, b) for a, b, _ in own])])
-                rows["items"].append(sorted(set().union(*[patterns.items[p] for _, _, p in own])) if own else [])
+                rows["items"].append(patterns.items(sorted({p for _, _, p in own})))
             yield pa.RecordBatch.from_pydict(rows, schema=_ROW_ARROW)
 
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(scan, _ROW)
@@ -246,10 +259,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     benchmark hits nothing. Other columns are not read. A benchmark above ``PASS_BYTES`` is
     searched in passes over the documents, whose findings are put together by document.
     """
-    return _judged(docs, [_found(docs, p, window) for p in _passes(benchmark)]).drop("h")
+    return _judged(_all_found(docs, benchmark, window)).drop("h")
+
+
+def _all_found(docs: DataFrame, benchmark: DataFrame, window: int) -> list[DataFrame]:
+    """The findings of each pass; of several each is saved before the next one's windows are gathered and broadcast."""
+    passes = _passes(benchmark)
+    first, second = next(passes), next(passes, None)
+    if second is None:
+        return [_found(docs, first, window)]
+    parts = []
+    for items in itertools.chain([first, second], passes):
+        part = _found(docs, items, window)
+        parts.append(saved(part if not parts else part.where("size(items) > 0"), "found"))
+    return parts
 
 
-def _judged(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+def _judged(parts: list[DataFrame]) -> DataFrame:
     """``contamination`` from the findings of its passes, with ``h``, the text's hash."""
     found = parts[0]
     if len(parts) > 1:  # repeated rows find the same in each pass: they are counted in one and joined to the union
@@ -280,9 +306,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
     first = next(passes)
     second = next(passes, None)
     if second is not None:
-        parts = [_found(docs, p, window) for p in itertools.chain([first, second], passes)]
         key = [F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("z")]
-        bad = _judged(docs, parts).where("contaminated").select(*key, "h").distinct()
+        bad = _judged(_all_found(docs, benchmark, window)).where("contaminated").select(*key, "h").distinct()
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key, F.xxhash64("text").alias("h"))
         return rows.join(bad, ["d", "z", "h"], "left_anti").select("_row.*")
     shared = docs.sparkSession.sparkContext.broadcast(Patterns(first, window))

@@ -8,8 +8,9 @@ non-essential: essential postings are traversed for all vectors, and the others
 vectors whose bound still reaches the threshold. Vectors are in ascending id, so an
 equal score from a later one never wins. The shards' lists are merged by a grouped rank.
 
-Vectors are dealt to shards, queries to blocks, both of bounded size; each shard meets each block once,
-which is the stated query set against all rows.
+Vectors are dealt to shards, queries to blocks, both of bounded size. A vector goes to its shard once, and
+each block of queries to every shard, which is the stated query set against all rows; a task holds
+one shard and one block at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import tasks
+
 SHARD = 8_192
 QUERIES_AT_ONCE = 1_024
 FIRST = 512
@@ -92,6 +95,23 @@ def integer_vectors(table: DataFrame, scale: int = 256) -> DataFrame:
     return table.where(ok).select("vec_id", v.alias("v")).dropDuplicates(["vec_id", "v"])
 
 
+def _runs(batches):
+    """((s, b), rows) of consecutive rows that agree in both, from sorted batches."""
+    held, last = [], None
+    for batch in batches:
+        s, b = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+        cut = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])])) if batch.num_rows else []
+        for x, y in zip(cut, [*cut[1:], batch.num_rows]):
+            key = int(s[x]), int(b[x])
+            if key != last and held:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best ``vectors`` for each row of ``queries``, both (vec_id, v).
 
@@ -101,31 +121,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERIES_AT_ONCE))
     deal = lambda df, parts: F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
-    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = vectors.select("vec_id", "v", F.lit(False).alias("q"), deal(vectors, shards).alias("s")).select("*", each(blocks).alias("b"))
-    right = queries.select("vec_id", "v", F.lit(True).alias("q"), deal(queries, blocks).alias("b")).select("vec_id", "v", "q", each(shards).alias("s"), "b")
-
-    def search(table: pa.Table) -> pa.Table:
-        is_query = np.array(table["q"])
-        ids = np.array(table["vec_id"])
-        sizes = np.array(table["v"].combine_chunks().value_lengths())
-        flat = np.array(table["v"].combine_chunks().flatten())
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        out: list[list] = [[], [], []]
-        for size in np.unique(sizes[is_query]):
-            own = np.flatnonzero((sizes == size) & ~is_query)
-            if not len(own):
-                continue
-            take = lambda rows: flat[starts[rows][:, None] + np.arange(size)]  # noqa: B023, E731
-            shard = Shard(ids[own], take(own))
-            for i in np.flatnonzero((sizes == size) & is_query):
-                got, scores = shard.top(ids[i], flat[starts[i] : starts[i + 1]].astype(np.float64), k)
-                out[0] += [int(ids[i])] * len(got)
-                out[1] += [int(x) for x in got]
-                out[2] += [int(x) for x in scores]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out)})
-
-    found = left.unionByName(right).groupBy("s", "b").applyInArrow(search, _OUT)
+    left = vectors.select("vec_id", "v", deal(vectors, shards).alias("s"), F.lit(-1).alias("b"))
+    right = queries.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), deal(queries, blocks).alias("b"))
+
+    def search(batches):
+        shard, own = {}, None
+        for (s, b), table in _runs(batches):
+            ids, sizes = np.array(table["vec_id"]), np.array(table["v"].combine_chunks().value_lengths())
+            flat = np.array(table["v"].combine_chunks().flatten())
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            if b < 0:
+                shard, own = {}, s
+                for size in np.unique(sizes):
+                    rows = np.flatnonzero(sizes == size)
+                    shard[size] = Shard(ids[rows], flat[starts[rows][:, None] + np.arange(size)])
+            elif own == s:
+                out: list[list] = [[], [], []]
+                for i in range(len(ids)):
+                    if sizes[i] in shard:
+                        got, scores = shard[sizes[i]].top(ids[i], flat[starts[i] : starts[i + 1]].astype(np.float64), k)
+                        out[0] += [int(ids[i])] * len(got)
+                        out[1] += [int(x) for x in got]
+                        out[2] += [int(x) for x in scores]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+
+    dealt = left.unionByName(right).repartition(tasks(vectors.sparkSession), "s").sortWithinPartitions("s", "b")
+    found = dealt.mapInArrow(search, _OUT)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
