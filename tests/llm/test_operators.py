@@ -116,6 +116,26 @@ def test_suffixes_equal_brute_force(spark, tricky):
         assert r["kept_sha256"] == hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
 
 
+def test_long_texts_are_named_in_pieces(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    long = bytearray(" ".join(rng.choice(words) for _ in range(110_000)).encode())
+    assert len(long) > 2 * suffixes.TOGETHER
+    for a, b, n in ((1000, suffixes.TOGETHER - 150, 400), (5000, 2 * suffixes.TOGETHER - 199, 230), (9000, 300_000, 200), (12_000, 310_000, 199)):
+        long[b : b + n] = long[a : a + n]
+    texts = [long.decode(), "z" * (suffixes.TOGETHER + 5000), "short", long[400_000:400_260].decode()]
+    docs = [t.encode() for t in texts]
+    count = collections.Counter(hash(b[p : p + 200]) for b in docs for p in range(len(b) - 199))
+    got = {r["doc_id"]: r for r in suffixes.repeats(docs_of(spark, texts)).collect()}
+    for i, b in enumerate(docs):
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 199):
+            if count[hash(b[p : p + 200])] > 1:
+                gone[p : p + 200] = True
+        assert got[i]["n_removed"] == int(gone.sum()), i
+        assert got[i]["kept_sha256"] == hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
+
+
 def plain_base(text):
     """Base spans by plain scanning, without patterns."""
     out, n = [], len(text)
