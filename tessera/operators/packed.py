@@ -23,22 +23,24 @@ def _product(shape, i, j, v):
 
 
 def _pack(batches):
-    t = pa.Table.from_batches(list(batches))
-    if t.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        t = pa.Table.from_batches(held)
         i, j, v = (np.asarray(t[c].combine_chunks()) for c in ("i", "j", "v"))
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (i, j, v)], ["i", "j", "v"])
 
 
-def packed_operator(a: Coo, local: int = LOCAL_ENTRIES) -> Operator:
+def packed_operator(a: Coo, local: int | None = None) -> Operator:
     """``a`` as functions on NumPy vectors.
 
-    Up to ``local`` entries, which are counted first, are kept on the driver. More stay in
+    Up to ``local`` entries (LOCAL_ENTRIES), which are counted first, are kept on the driver. More stay in
     executors as blocks of rows; a product broadcasts the vector, whose length is checked, and
     gathers one partial sum for each row that a block has.
     """
     if max(a.shape) > DRIVER_UNKNOWNS:
         raise ValueError(f"{max(a.shape)} unknowns; vectors on the driver take {DRIVER_UNKNOWNS}. Use table_cg")
     entries = a.entries()
+    local = LOCAL_ENTRIES if local is None else local
     if local and entries.limit(local + 1).count() <= local:
         i, j, v = local_array(entries)
         return Operator(a.shape, _product(a.shape, i, j, v), _product(a.shape[::-1], j, i, v))
