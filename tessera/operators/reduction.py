@@ -40,7 +40,7 @@ class ZeroReduction:
             else:
                 self.mode = "union" if self.zeros is Zeros.PERSISTENT or n and z / n >= START_SHARE else "off"
                 self.first_zeros = z
-                self.kept = a.where("v <> 0").select("i", "j") if self.mode == "union" else None
+                self.kept = a.where("v <> 0").select("i", "j").distinct() if self.mode == "union" else None
                 if self.mode == "union":
                     self.kept = self.kept.persist()
             return a.where("v <> 0") if self.mode == "per_matrix" else a if self.mode != "union" else a.join(self.kept, ["i", "j"])
@@ -52,6 +52,7 @@ class ZeroReduction:
             raise ValueError(f"{n} stored entries, where the first matrix had {self.stored}")
         new = self.kept.union(a.where("v <> 0").select("i", "j")).distinct().persist()
         count = new.count()
+        self.kept.unpersist()
         woken = count - (self.stored - self.first_zeros)
         self.kept = new
         if count >= n:

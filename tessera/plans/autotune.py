@@ -8,12 +8,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import rules
+from .algorithms import algorithm
+
 SCHEMA = "algorithm string, eltype string, size int, workload string, gflops double, success boolean, error string"
 #: Upper ends of the size classes and their names; the last has none.
 CLASSES = ((20, "tiny"), (100, "small"), (300, "medium"), (1000, "large"))
 ALWAYS_LOADED = ("LUFactorization", "GenericLUFactorization", "SimpleLUFactorization", "MKLLUFactorization", "AppleAccelerateLUFactorization", "OpenBLASLUFactorization")
 #: An algorithm that needs another package is chosen for complex numbers only when this much faster.
 COMPLEX_MARGIN = 1.2
+#: Element types in results, and what the rules call them.
+ELTYPES = {"Float32": "float", "Float64": "double", "ComplexF64": "complex"}
 
 
 def lu_flops(m: int, n: int) -> int:
@@ -85,14 +90,38 @@ def best_always_loaded(results: DataFrame) -> DataFrame:
     return best(results.where(F.col("algorithm").isin(*ALWAYS_LOADED)), ())
 
 
+def failures(results: DataFrame) -> DataFrame:
+    """The algorithms with a run that failed."""
+    return results.where(~F.col("success")).select("algorithm").distinct()
+
+
+def tested(results: DataFrame) -> DataFrame:
+    """Per element type and workload, the sizes between which it was run."""
+    return results.groupBy("eltype", "workload").agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"))
+
+
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of two runs, whose columns may differ."""
     return a.unionByName(b, allowMissingColumns=True)
 
 
 def keep(choices: DataFrame, path: str) -> None:
+    """Writes the choices; :func:`adopt` of what :func:`kept` reads makes them the default."""
     choices.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def kept(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def adopt(choices: DataFrame) -> None:
+    """Default choices for dense square matrices are from now on these, one for each type and size class; unknown names are an error."""
+    rows = choices.where(F.col("eltype").isin(*ELTYPES)).select("eltype", "size_class", "algorithm").distinct().collect()
+    for r in rows:
+        algorithm(r["algorithm"])
+    rules.PREFERRED.update({(ELTYPES[r["eltype"]], r["size_class"]): r["algorithm"] for r in rows})
+
+
+def forget() -> None:
+    """Default choices are the rule table's own again."""
+    rules.PREFERRED.clear()

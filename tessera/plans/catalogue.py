@@ -582,7 +582,13 @@ for _name in krylov.LEAST_NORM:
     query(_WIDE, f"krylov_{_name}")(_wide_query(_name))
 
 
-@query()
+# The chain's rows, summed from the first, give each difference of neighbours.
+@query(
+    "WITH b AS (SELECT i, sin(i) AS x FROM (SELECT unnest(range(100)) AS i)), r AS (SELECT i, x - avg(x) OVER () AS x FROM b), "
+    "s AS (SELECT i, sum(x) OVER (ORDER BY i) AS step FROM r), "
+    "u AS (SELECT i, -coalesce(sum(step) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM s) "
+    "SELECT i, round(u - avg(u) OVER (), 5) AS u FROM u"
+)
 def neumann_nullspace(spark, sf_dir):
     """A singular chain whose constants are taken out at each step; the solution's mean is 0."""
     n = 100
@@ -623,7 +629,24 @@ def eigen_targets(spark, sf_dir):
     return spark.createDataFrame(rows, "target string, k int, value double").withColumn("value", F.round("value", 6))
 
 
-@query()
+# Three vectors, multiplied by the matrix and made orthogonal 1,500 times over.
+@query("""
+WITH RECURSIVE e AS (SELECT vec_id, k, CAST(embedding[k] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS k)),
+g AS (SELECT a.k AS i, list(s ORDER BY b) AS row FROM (SELECT l.k, r.k AS b, sum(l.x * r.x) AS s FROM e AS l JOIN e AS r USING (vec_id) GROUP BY ALL) AS a GROUP BY a.k),
+m AS (SELECT list(row ORDER BY i) AS rows FROM g),
+p(t, u, v, w) AS (
+  SELECT 0, list_transform(range(1, 65), lambda k: 1.0::DOUBLE + k % 3), list_transform(range(1, 65), lambda k: 1.0::DOUBLE + k % 5), list_transform(range(1, 65), lambda k: 1.0::DOUBLE + k % 7)
+  UNION ALL
+  SELECT t + 1, u1, v1, list_transform(w0, lambda x: x / sqrt(list_dot_product(w0, w0))) FROM (
+    SELECT *, list_transform(range(1, 65), lambda k: w2[k] - list_dot_product(w2, u1) * u1[k] - list_dot_product(w2, v1) * v1[k]) AS w0 FROM (
+      SELECT *, list_transform(v0, lambda x: x / sqrt(list_dot_product(v0, v0))) AS v1 FROM (
+        SELECT *, list_transform(range(1, 65), lambda k: v2[k] - list_dot_product(v2, u1) * u1[k]) AS v0 FROM (
+          SELECT t, list_transform(rows, lambda r: list_dot_product(r, v)) AS v2, list_transform(rows, lambda r: list_dot_product(r, w)) AS w2, list_transform(u2, lambda x: x / sqrt(list_dot_product(u2, u2))) AS u1 FROM (
+            SELECT t, v, w, rows, list_transform(rows, lambda r: list_dot_product(r, u)) AS u2 FROM p, m WHERE t < 1500)))))
+)
+SELECT CAST(k AS INTEGER) AS k, round(CASE k WHEN 0 THEN list_dot_product(u, gu) WHEN 1 THEN list_dot_product(v, gv) ELSE list_dot_product(w, gw) END, 4) AS lambda_re, CAST(0 AS DOUBLE) AS lambda_im
+FROM (SELECT *, list_transform(rows, lambda r: list_dot_product(r, u)) AS gu, list_transform(rows, lambda r: list_dot_product(r, v)) AS gv, list_transform(rows, lambda r: list_dot_product(r, w)) AS gw FROM p, m WHERE t = 1500), (SELECT unnest([0, 1, 2]) AS k)
+""")
 def lanczos_embeddings(spark, sf_dir):
     """The largest eigenvalues of the embeddings' Gram matrix, which stays in a table."""
     e = table(spark, sf_dir, "embeddings")
@@ -832,13 +855,23 @@ def autotune_best_always_loaded(spark, sf_dir):
     return autotune.best_always_loaded(_timings(spark, sf_dir)).withColumn("avg_gflops", F.round("avg_gflops", 5))
 
 
+@query(f"WITH t AS ({_TIMINGS}) SELECT DISTINCT algorithm FROM t WHERE NOT success")
+def autotune_failures(spark, sf_dir):
+    return autotune.failures(_timings(spark, sf_dir))
+
+
+@query(f"WITH t AS ({_TIMINGS}) SELECT eltype, workload, min(size) AS least_size, max(size) AS most_size FROM t GROUP BY eltype, workload")
+def autotune_tested(spark, sf_dir):
+    return autotune.tested(_timings(spark, sf_dir))
+
+
 @query(f"WITH t AS ({_TIMINGS}) SELECT algorithm, size, workload FROM t WHERE size <= 50 UNION ALL SELECT algorithm, size, NULL FROM t WHERE size > 1400")
 def autotune_union(spark, sf_dir):
     t = _timings(spark, sf_dir)
     return autotune.merged(t.where("size <= 50").select("algorithm", "size", "workload"), t.where("size > 1400").select("algorithm", "size"))
 
 
-@query()
+@query("SELECT size_class, dtype, 'LUFactorization' AS algorithm FROM (SELECT unnest(['tiny', 'small', 'medium', 'large', 'big']) AS size_class), (SELECT unnest(['float', 'double', 'complex']) AS dtype)")
 def algorithm_choices(spark, sf_dir):
     """The choice for each size class and type."""
     rows = [(name, t, rules.default_choice(rules.Facts(n, n, dtype=t))) for name, n in (("tiny", 20), ("small", 100), ("medium", 300), ("large", 1000), ("big", 5000)) for t in ("float", "double", "complex")]

@@ -24,6 +24,10 @@ class Facts:
         return self.rows == self.cols
 
 
+#: Measured choices that were adopted: the algorithm for a type and size class.
+PREFERRED: dict[tuple[str, str], str] = {}
+
+
 def light(rows: int, cols: int, nnz: int) -> bool:
     """Whether a sparse matrix has little structure to use: small, or of middle size and very sparse."""
     return rows <= 1_000 or rows <= 10_000 and nnz / (rows * cols) < 2e-4
@@ -84,7 +88,9 @@ def default_choice(f: Facts) -> str:
             return "QRFactorization"
         if c is Condition.SUPER_ILL:
             return "SVDFactorization"
-        return "GenericLUFactorization" if f.rows <= 10 and c in (Condition.ILL, Condition.WELL) else "LUFactorization"
+        if c not in (Condition.ILL, Condition.WELL):
+            return "LUFactorization"
+        return "GenericLUFactorization" if f.rows <= 10 else PREFERRED.get((f.dtype, size_class(f.rows)), "LUFactorization")
     if c is Condition.WELL:
         return "NormalCholeskyFactorization"
     if c is Condition.SUPER_ILL:

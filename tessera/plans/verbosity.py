@@ -1,4 +1,4 @@
-"""What a solve says: named messages with levels, presets, and LAPACK's info codes in words."""
+"""What a solve says: named messages with levels, in groups and presets."""
 
 from __future__ import annotations
 
@@ -7,22 +7,39 @@ from dataclasses import dataclass, field
 
 log = logging.getLogger("tessera")
 
-#: Names of messages, by group.
-GROUPS = {
-    "error_control": ("default_lu_fallback", "residual_safety", "blas_errors", "blas_invalid_args", "convergence_failure", "solver_failure", "max_iters"),
-    "performance": ("no_right_preconditioning", "condition_number"),
-    "numerical": ("krylov", "blas_info", "blas_success", "iterations"),
-}
-NAMES = tuple(n for g in GROUPS.values() for n in g)
+# The toggles by group, and the level of each in the presets minimal, standard, detailed and all
+# (- silent, I information, W warning); numbered message levels of other libraries count as information.
+_TOGGLES = """
+error_control default_lu_fallback          - - W W
+error_control residual_safety              - - W W
+performance   no_right_preconditioning     - - I I
+numerical     using_IterativeSolvers       - - I I
+numerical     IterativeSolvers_iterations  - - - I
+numerical     KrylovKit_verbosity          - I I I
+numerical     KrylovJL_verbosity           - - I I
+numerical     HYPRE_verbosity              - I I I
+numerical     pardiso_verbosity            - - I I
+error_control blas_errors                  W W W W
+error_control blas_invalid_args            W W W W
+numerical     blas_info                    - - I I
+numerical     blas_success                 - - I I
+numerical     condition_number             - - - I
+numerical     convergence_failure          - W W W
+numerical     solver_failure               - W W W
+numerical     max_iters                    - W W W
+"""
+_ROWS = [row.split() for row in _TOGGLES.split("\n") if row]
 _OFF = 0
-_SERIOUS = ("blas_errors", "blas_invalid_args")
-PRESETS: dict[str, dict[str, int]] = {
-    "none": {},
-    "minimal": dict.fromkeys(_SERIOUS, logging.WARNING),
-    "standard": dict.fromkeys((*_SERIOUS, "residual_safety", "no_right_preconditioning"), logging.WARNING),
-    "detailed": dict.fromkeys(NAMES, logging.INFO) | dict.fromkeys((*_SERIOUS, *GROUPS["error_control"], "no_right_preconditioning"), logging.WARNING),
-    "all": dict.fromkeys(NAMES, logging.INFO) | dict.fromkeys(GROUPS["error_control"], logging.WARNING),
-}
+_LEVELS = {"-": _OFF, "I": logging.INFO, "W": logging.WARNING}
+NAMES = tuple(row[1] for row in _ROWS)
+GROUPS = {group: tuple(row[1] for row in _ROWS if row[0] == group) for group in ("error_control", "performance", "numerical")}
+PRESETS: dict[str, dict[str, int]] = {"none": {}} | {preset: {row[1]: _LEVELS[row[2 + k]] for row in _ROWS} for k, preset in enumerate(("minimal", "standard", "detailed", "all"))}
+#: Who says how an iteration went, by how the algorithm's name begins; others say it as KrylovJL.
+ITERATIONS = {"IterativeSolvers": "IterativeSolvers_iterations", "KrylovKit": "KrylovKit_verbosity", "HYPRE": "HYPRE_verbosity", "MKLPardiso": "pardiso_verbosity", "PanuaPardiso": "pardiso_verbosity"}
+
+
+def iterating(algorithm: str) -> str:
+    return next((name for start, name in ITERATIONS.items() if algorithm.startswith(start)), "KrylovJL_verbosity")
 
 
 @dataclass
@@ -48,26 +65,3 @@ class Verbosity:
     def say(self, name: str, message: str, *args) -> None:
         if level := self.level(name):
             log.log(level, message, *args)
-
-
-# What a positive info means, by a part of the routine's name.
-_POSITIVE = (
-    (("getrf", "gesv"), "singular_matrix", "U({0},{0}) is exactly zero"),
-    (("potrf",), "not_positive_definite", "the leading minor of order {0} is not positive definite"),
-    (("geqrf", "geqrt"), "numerical_issue", "reflector {0} could not be formed"),
-    (("gesdd", "gesvd", "syev", "heev"), "convergence_failure", "{0} off-diagonal elements did not converge to zero"),
-    (("sytrf", "hetrf"), "singular_matrix", "D({0},{0}) is exactly zero"),
-    (("getrs", "potrs"), "unexpected_error", "info {0}, where a solve has none"),
-)
-
-
-def interpret_blas_code(routine: str, info: int) -> tuple[str, str]:
-    """(category, details) of a LAPACK routine's info."""
-    if info == 0:
-        return "success", ""
-    if info < 0:
-        return "invalid_argument", f"argument {-info} had an illegal value"
-    for names, category, text in _POSITIVE:
-        if any(n in routine for n in names):
-            return category, text.format(info)
-    return "unknown_error", f"info {info}"

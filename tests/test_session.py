@@ -1,14 +1,15 @@
 import numpy as np
 import pytest
 
+from tessera.functions import factors
 from tessera.operators import eigen, krylov, precond
 from tessera.operators.diff import forward
 from tessera.plans import rules
 from tessera.plans.algorithms import ALGORITHMS, algorithm, algorithm_names, check_algorithm, check_control, generic_factorization, solve_function
 from tessera.plans.autotune import lu_flops
-from tessera.plans.problem import Assumptions, Condition, EigenProblem, EigenTarget, LinearProblem, RetCode, WarmStart
+from tessera.plans.problem import Assumptions, Condition, EigenProblem, EigenTarget, LinearProblem, RetCode, WarmStart, Zeros
 from tessera.plans.session import Session, solve
-from tessera.sources.matrix import Operator, Shifted
+from tessera.sources.matrix import Coo, Operator, Shifted
 
 RNG = np.random.default_rng(1)
 
@@ -281,7 +282,7 @@ def test_frozen_factor():
 
 
 def test_messages(caplog):
-    from tessera.plans.verbosity import Verbosity, interpret_blas_code
+    from tessera.plans.verbosity import NAMES, Verbosity
 
     a, b = np.ones((2, 2)), np.ones(2)
     with caplog.at_level("INFO", "tessera"):
@@ -291,11 +292,72 @@ def test_messages(caplog):
         assert "pivoted QR" in caplog.text
         caplog.clear()
         solve(LinearProblem(a, b), verbose=Verbosity("all", {"error_control": 0}))
+        assert "pivoted QR" not in caplog.text and "pivot 2 of 2 is zero" in caplog.text
+        caplog.clear()
+        solve(LinearProblem(a, b), verbose=Verbosity("all", {"error_control": 0, "numerical": 0}))
         assert not caplog.records
+        solve(LinearProblem(np.array([[2.0, 1], [0, 3]]), b), "CholeskyFactorization")
+        assert "not symmetric" in caplog.text
+        caplog.clear()
+        solve(LinearProblem(np.eye(2), b), "KrylovKitJL_CG")
+        assert "KrylovKitJL_CG: 1 iterations" in caplog.text
     with pytest.raises(ValueError):
         Verbosity("loud")
     with pytest.raises(ValueError):
         Verbosity(changes={"nothing": 1})
-    assert interpret_blas_code("dgetrf", 0)[0] == "success"
-    assert interpret_blas_code("dgetrf", -3)[0] == "invalid_argument"
-    assert interpret_blas_code("dpotrf", 2) == ("not_positive_definite", "the leading minor of order 2 is not positive definite")
+    assert len(NAMES) == 17
+
+
+def test_why_a_factor_fails():
+    def trouble(a, kernel):
+        return factors.factor(kernel, np.array(a, float)).trouble
+
+    assert trouble([[1, 2], [2, 5]], "cholesky") is None
+    assert trouble([[1, 2], [2, 1]], "cholesky") == ("blas_info", "Matrix is not positive definite")
+    assert trouble([[1, 2], [0, 1]], "cholesky")[0] == "blas_invalid_args"
+    assert trouble([[1, np.nan], [2, 1]], "lu") == ("blas_invalid_args", "entries that are not finite")
+    assert trouble([[1, 1], [1, 1]], "lu") == ("blas_info", "pivot 2 of 2 is zero")
+    assert trouble([[1, 0], [0, 0]], "bunch_kaufman") == ("blas_info", "column 2 of 2 is zero from its diagonal on")
+    assert trouble([[1, 1], [1, 1]], "qr")[0] == trouble([[1, 0], [0, 0]], "ldlt")[0] == trouble([[1, 0], [0, 0]], "diagonal")[0] == "blas_info"
+    assert trouble([[1, 1], [1, 1]], "svd") is None
+
+
+def test_stored_zeros_in_a_session(spark):
+    """Positions that are zero in all matrices so far leave the factor; answers stay those of the whole matrix."""
+    n = 40
+
+    def coo(k, wake=0):
+        rows = [(i, j, 4.0 + k if i == j else 0.5 if wake and abs(i - j) == wake else 0.0) for i in range(n) for j in range(n) if abs(i - j) <= 3]
+        return Coo(spark.createDataFrame(rows, "i long, j long, v double"), (n, n))
+
+    b = np.arange(1.0, n + 1)
+    s = Session(LinearProblem(coo(0), b), "KLUFactorization")
+    for k, wake in enumerate((0, 1, 2, 0)):
+        s.A = coo(k, wake)
+        dense = np.zeros((n, n))
+        for r in s.A.df.collect():
+            dense[r["i"], r["j"]] = r["v"]
+        assert np.allclose(dense @ s.solve().u, b)
+    assert s._zeros.mode in ("union", "per_matrix")
+    fixed = Session(LinearProblem(coo(0), b), "KLUFactorization", assumptions=Assumptions(zeros=Zeros.PERSISTENT))
+    assert fixed.solve().retcode.ok
+    fixed.A = Coo(spark.createDataFrame([(i, i, 1.0) for i in range(n)], "i long, j long, v double"), (n, n))
+    with pytest.raises(ValueError, match="stored"):
+        fixed.solve()
+
+
+def test_adopted_choices(spark):
+    from tessera.plans import autotune, rules
+
+    rows = spark.createDataFrame([("Float64", "small", "QRFactorization"), ("ComplexF64", "small", "SVDFactorization"), ("Float16", "small", "LUFactorization")], "eltype string, size_class string, algorithm string")
+    a, b = positive(), RNG.standard_normal(30)
+    try:
+        autotune.adopt(rows)
+        assert Session(LinearProblem(a, b)).alg.name == "QRFactorization"
+        assert Session(LinearProblem(a + 0j, b)).alg.name == "SVDFactorization"
+        assert rules.default_choice(rules.Facts(500, 500)) == "LUFactorization"
+        with pytest.raises(ValueError):
+            autotune.adopt(rows.selectExpr("eltype", "size_class", "'Unheard' AS algorithm"))
+    finally:
+        autotune.forget()
+    assert Session(LinearProblem(a, b)).alg.name == "LUFactorization"
