@@ -4,11 +4,11 @@ import numpy as np
 import pytest
 
 from tessera.functions import factors, sparse
-from tessera.operators import krylov, precond
-from tessera.plans.algorithms import generic_factorization
-from tessera.plans.problem import Assumptions, LinearProblem, RetCode
+from tessera.operators import eigen, krylov, precond
+from tessera.plans.algorithms import algorithm, generic_factorization
+from tessera.plans.problem import Assumptions, EigenProblem, LinearProblem, RetCode
 from tessera.plans.session import Session, solve
-from tessera.sources.matrix import Structured
+from tessera.sources.matrix import Coo, Structured
 
 RNG = np.random.default_rng(11)
 
@@ -180,14 +180,79 @@ def test_sparse_factor_keeps_its_analysis():
     assert np.allclose(p.solve(np.ones(4))[0], [1 / 3, 1 / 2, 1 / 5, 1 / 4])
 
 
+@pytest.mark.parametrize("ordering", sparse.ORDERINGS)
 @pytest.mark.parametrize("seed", range(40))
-def test_sparse_factor_on_random_patterns(seed):
+def test_sparse_factor_on_random_patterns(seed, ordering):
     rng = np.random.default_rng(seed)
     m = int(rng.integers(1, 150))
     a = (rng.random((m, m)) < rng.random() * 0.1) * rng.standard_normal((m, m)) + np.eye(m)[rng.permutation(m)] * 3
     i, j = np.nonzero(a)
     b = rng.standard_normal(m)
-    u, code = sparse.SparseFactor(i, j, a[i, j], m).solve(b)
+    f = sparse.SparseFactor(i, j, a[i, j], m, ordering=ordering)
+    assert sorted(f.analysis.order) == list(range(m))
+    u, code = f.solve(b)
     assert code.ok or np.linalg.cond(a) > 1e6
     if code.ok:
         assert np.linalg.norm(a @ u - b) <= 1e-6 * np.linalg.norm(b)
+
+
+def test_least_degree_fills_less():
+    """An arrow pointing the wrong way fills up in its own order, and not at all by least degree."""
+    n = 300
+    k = np.arange(1, n)
+    i, j = np.concatenate([[0], k, k, 0 * k]), np.concatenate([[0], k, 0 * k, k])
+    order, parent, touched = sparse.least_degree(*_graph(i, j, n), n)
+    assert sum(touched) == n - 1
+    assert 0 in order[-2:]
+    f = sparse.SparseFactor(i, j, np.concatenate([[n], np.full(n - 1, 4.0), np.ones(2 * n - 2)]), n, ordering="amd")
+    assert f.analysis.fill < 60 * n
+    assert np.allclose(f.product(f.solve(np.ones(n))[0]), 1)
+    with pytest.raises(ValueError, match="ordering"):
+        sparse.SparseFactor(i, j, np.ones(len(i)), n, ordering="by name")
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_elimination_tree_and_counts(seed):
+    """Parents, and how many later nodes each one touches, are those of elimination played out on the whole graph."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 60))
+    a = rng.random((n, n)) < 0.06
+    a |= a.T
+    np.fill_diagonal(a, False)
+    order, parent, touched = sparse.least_degree(*_graph(*np.nonzero(a), n), n)
+    at = np.argsort(order)
+    for v in order:
+        later = [int(w) for w in np.flatnonzero(a[v]) if at[w] > at[v]]
+        assert touched[v] == len(later)
+        assert parent[v] == min(later, key=lambda w: at[w], default=-1)
+        a[np.ix_(later, later)] = True
+        a[later, later] = False
+
+
+def _graph(i, j, n):
+    off = i != j
+    x, y = i[off], j[off]
+    by = np.lexsort((y, x))
+    return np.searchsorted(x[by], np.arange(n + 1)), y[by]
+
+
+def test_ordering_by_name(spark):
+    a, b = laplacian(60), RNG.standard_normal(60)
+    i, j = np.nonzero(a)
+    df = spark.createDataFrame(list(zip(i.tolist(), j.tolist(), a[i, j].tolist())), "i long, j long, v double")
+    s = Session(LinearProblem(Coo(df, (60, 60)), b), algorithm("SupernodalLUFactorization", ordering="amd"))
+    assert np.allclose(a @ s.solve().u, b)
+    assert s._factor.analysis.ordering == "amd"
+
+
+def test_eigen_backend_of_a_user():
+    class Own:
+        def solve(self, problem, apply, n, inverse):
+            return np.linalg.eigh(problem.A)
+
+    found = eigen.solve_eigen(EigenProblem(np.diag([1.0, 5, 3]), count=2), Own())
+    assert found.u[0].tolist() == [5, 3]
+    assert np.abs(found.u[1][:, 0]).tolist() == [0, 1, 0]
+    assert found.alg == "Own"
+    with pytest.raises(TypeError, match="solve"):
+        eigen.solve_eigen(EigenProblem(np.eye(2)), object())
