@@ -39,6 +39,8 @@ LARGE = 4_096
 AGREE = int(POSITIONS * SIMILAR - 7 * math.sqrt(POSITIONS * SIMILAR * (1 - SIMILAR))) + 1
 #: Sets and 5-grams in one block of an exact comparison.
 BLOCK_SETS, BLOCK_GRAMS = 256, 400_000
+#: Words whose 5-grams are hashed together: some 100 bytes are held for each byte of them.
+PIECE_WORDS = 1 << 17
 
 _rng = np.random.default_rng(20_240_501)
 _A = (_rng.integers(0, 1 << 32, POSITIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -48,8 +50,18 @@ _C = np.uint64(0xD6E8FEB86659FD93)
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 5-gram hashes of each text one after another, and how many each has."""
+    """Sorted distinct 5-gram hashes of each text one after another, and how many each has.
+
+    Of long texts one piece is hashed at a time; pieces share ``N`` - 1 words, so that each 5-gram is in one.
+    """
     words = [words_of(t) for t in texts]
+    if all(len(w) <= PIECE_WORDS for w in words):
+        return _grams(words)
+    sets = [np.unique(np.concatenate([_grams([w[k : k + PIECE_WORDS + N - 1]])[0] for k in range(0, max(1, len(w) - N + 1), PIECE_WORDS)])) for w in words]
+    return np.concatenate(sets), np.array([len(x) for x in sets], np.int64)
+
+
+def _grams(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(w) for w in words], np.int64)
     n = int(sizes.sum())
     if not n:
@@ -69,7 +81,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     each = np.maximum(sizes - N + 1, np.minimum(sizes, 1))  # 5-grams with repeats
     first_word = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     first_gram = np.concatenate([[0], np.cumsum(each)[:-1]])
-    owner = np.repeat(np.arange(len(texts)), each)
+    owner = np.repeat(np.arange(len(words)), each)
     at = np.arange(int(each.sum())) - first_gram[owner] + first_word[owner]
     last = np.minimum(at + N, first_word[owner] + sizes[owner]) - 1
     start, end = begin[at], stop[last]
@@ -77,7 +89,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
-    return hashes[new], np.bincount(owner[new], minlength=len(texts))
+    return hashes[new], np.bincount(owner[new], minlength=len(words))
 
 
 def _digests(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:

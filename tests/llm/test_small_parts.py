@@ -260,6 +260,16 @@ def test_grams_are_those_of_the_words(texts):
             assert len(a & b) == len(x & y)
 
 
+@pytest.mark.parametrize("piece", [1, 2, 7])
+def test_grams_of_pieces_are_the_same(monkeypatch, piece):
+    texts = ["a b c d e f g h " * 9, None, "", "one two", "p q r s t", "u v w x y z", "z " * 50]
+    whole = jaccard.grams(texts)
+    monkeypatch.setattr(jaccard, "PIECE_WORDS", piece)
+    parts = jaccard.grams(texts)
+    assert whole[0].tolist() == parts[0].tolist()
+    assert whole[1].tolist() == parts[1].tolist()
+
+
 def test_recall_bound():
     assert (1 - jaccard.SIMILAR**jaccard.DEPTH) ** jaccard.RUNS < 1 - jaccard.RECALL
 
