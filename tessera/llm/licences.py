@@ -76,7 +76,7 @@ _LONGEST_FIRST = sorted(RULES, key=lambda r: -len(r[0]))
 _CUT = r"[.!?;:][^\p{L}\p{N} \t\r\n]*(?:[ \t\r\n]+|$)|[\r\n|]+"
 
 
-# The sentences as the published texts have them, besides those that ``SQL`` knows. It reads single lines only.
+# The sentences as the published texts have them, besides the short ones above.
 _FSF = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation either version {} of the license or at your option any later version"
 PUBLISHED = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
@@ -212,20 +212,33 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The law over a list of lines: a doubled line break stands between two, so that each has an end of its own for the next pattern."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in SENTENCES.items())
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in {**SENTENCES, **PUBLISHED}.items())
+    plain = lambda x: rf"trim(regexp_replace(lower(regexp_replace({x}, '{_LISTED}', '')), '[^a-z0-9]+', ' ', 'g'))"
+    spread = lambda k: k.replace(_NAMES, "neither the name of @ nor the names of its contributors").replace(" ", r"(?: |\n\n)").replace("@", r"(?:[a-z0-9 ]|\n\n){1,200}?")
+    longest = sorted({**SENTENCES, **PUBLISHED}, key=lambda k: -len(k))
+    found = "s"
+    for k in longest:
+        found = rf"regexp_replace({found}, '(^|\n)(?:{spread(k)})(\n|$)', '\1{k}\2', 'g')"
+    any_key = rf"(?:^|\n)(?:{'|'.join(map(spread, longest))})(?:\n|$)"
     steps, last = [], "q0"
-    for i, (ids, name) in enumerate(_LONGEST_FIRST):
+    for i, (ids, name) in enumerate(_ALL_LONGEST_FIRST):
         p = quoted(" " + "  ".join(ids) + " ")
         steps.append(f"q{i + 1} AS (SELECT doc_id, known, replace(seq, {p}, ' # ') AS seq, CASE WHEN contains(seq, {p}) THEN list_append(f, {quoted(name)}) ELSE f END AS f FROM {last})")
         last = f"q{i + 1}"
-    return f"""
+    return rf"""
 WITH k(s, id) AS (VALUES {known}),
 km AS (SELECT map_from_entries(list({{'k': s, 'v': id}})) AS m FROM k),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(coalesce(text, ''), '{_ENDS}') AS parts FROM documents),
+e AS (SELECT r, doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS nr FROM d),
+l AS (SELECT r, doc_id, nr, array_to_string(list_filter(list_transform(regexp_split_to_array(s, '{_LINES}'), lambda x: {plain('x')}), lambda x: x <> ''), chr(10) || chr(10)) AS s FROM e),
+w AS (
+  SELECT r, doc_id, nr, regexp_split_to_array(CASE WHEN (contains(s, chr(10)) OR starts_with(s, 'neither the name of ')) AND regexp_matches(s, '{any_key}')
+    THEN {found} ELSE s END, '\n\n') AS lines FROM l),
 i AS (
-  SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{_CUT}'),
-      lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> ''), lambda s: coalesce(m[s], '-')) AS ids
-  FROM documents, km),
+  SELECT doc_id, list_transform(list_filter(flatten(list(lines ORDER BY nr)), lambda x: x <> '' AND (length(x) > 4 OR NOT regexp_matches(x, '{_MARKER}'))), lambda x: coalesce(any_value(m)[x], '-')) AS ids
+  FROM w, km GROUP BY r, doc_id),
 q0 AS (SELECT doc_id, list_filter(ids, lambda x: x <> '-') AS known, ' ' || array_to_string(ids, '  ') || ' ' AS seq, CAST([] AS VARCHAR[]) AS f FROM i),
 {", ".join(steps)}
 SELECT doc_id, CAST(len(known) AS BIGINT) AS n_known,

@@ -331,6 +331,11 @@ def test_licences_of_whole_notices(spark, ending):
     for i, (_, name, ids) in enumerate(NOTICES):
         assert (got[i]["licences"], set(got[i]["sentence_ids"].split(","))) == (name, ids), i
         assert got[i]["n_known"] == len(ids), i
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    found = con.execute(licences.SQL)
+    names = [c[0] for c in found.description]
+    assert sorted(map(tuple, (licences.licences(docs).select(*names).collect()))) == sorted(found.fetchall())
 
 
 # ------------------------------------------------------------------ 4
