@@ -13,7 +13,9 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,7 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.
 # The shortest base match, "token:" and 8 more, has 14 bytes: 19 base64 characters or 28 hex digits.
 _RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}={0,2}")
 _RUNHEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){14,}(?![0-9A-Fa-f])")
+_NO_UTF8 = re.compile("[\udc80-\udcff]")
 _NEXT64 = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})(?!\S)")
 
 
@@ -165,24 +168,59 @@ def _hides_secret(data: bytes) -> bool:
         return False
 
 
+def _first_hiding(lines: list[str]) -> int | None:
+    """The first of ``lines``, from which on two or more decode to a text that hides a secret; all but the last have one length.
+
+    Lines that begin at whole groups of four characters are decoded together, and the text begins
+    after the last byte that is no UTF-8, so the time is linear in the lines' characters.
+    """
+    apart = 4 // math.gcd(len(lines[0]), 4)
+    step = apart * len(lines[0]) // 4 * 3
+    found = []
+    for first in range(min(apart, len(lines) - 1)):
+        data = decode64("".join(lines[first:]))
+        if data is None:
+            continue
+        shown = data.decode(errors="surrogateescape")[::-1]
+        broken = _NO_UTF8.search(shown)
+        at = -(-(len(data) - len(shown[: broken.start()].encode()) if broken else 0) // step)
+        while at * step < len(data) and data[at * step] & 0xC0 == 0x80:
+            at += 1
+        line = first + at * apart
+        if line < len(lines) - 1 and _hides_secret(data[at * step :]):
+            found.append(line)
+    return min(found, default=None)
+
+
 def wrapped_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Of base64 over lines of one length, the last of which may be shorter: where it hides a secret."""
-    out = []
+    out, past = [], 0
     for start, end in runs:
-        if out and start < out[-1][1]:
+        if start < past:
             continue
-        parts, ends = [text[start:end]], [end]
-        while len(parts[-1]) == len(parts[0]) and parts[-1][-1] != "=" and (m := _NEXT64.match(text, ends[-1])) and len(m[1]) <= len(parts[0]):
+        parts, spans = [text[start:end]], [(start, end)]
+        while len(parts[-1]) == len(parts[0]) and parts[-1][-1] != "=" and (m := _NEXT64.match(text, spans[-1][1])) and len(m[1]) <= len(parts[0]):
             parts.append(m[1])
-            ends.append(m.end())
+            spans.append(m.span(1))
         whole = len(parts) - (len(parts[-1]) < len(parts[0]))
+        past = spans[whole - 1][1]
         for n in dict.fromkeys((len(parts), whole)):  # a shorter line may be no part of it
-            if n > 1 and (data := decode64("".join(parts[:n]))) and _hides_secret(data):
-                out.append((start, ends[n - 1]))
+            if n > 1 and (line := _first_hiding(parts[:n])) is not None:
+                past = spans[n - 1][1]
+                out.append((spans[line][0], past))
                 break
     return out
 
 
+def _outside(spans: list[tuple[int, int]]):
+    """Whether a place is outside all of ``spans``."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        starts.append(s)
+        ends.append(max(e, ends[-1]) if ends else e)
+    return lambda at: not starts or (k := bisect_right(starts, at)) == 0 or at >= ends[k - 1]
+
+
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the candidates whose structure holds."""
     out = []
@@ -195,12 +233,13 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
         out += [(m.start(), "pem", m.end()) for m in _PGP.finditer(text) if is_pgp_key(m[2], m[3])]
     if "eyJ" in text:
         out += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
-    pems = [(s, e) for s, k, e in out if k == "pem"]
-    runs = list(_RUN64.finditer(text))
-    wrapped = wrapped_spans(text, [m.span() for m in runs if not any(s <= m.start() < e for s, e in pems)])
+    free = _outside([(s, e) for s, k, e in out if k == "pem"])
+    runs = [m for m in _RUN64.finditer(text) if free(m.start())]
+    wrapped = wrapped_spans(text, [m.span() for m in runs])
     out += [(s, "coded", e) for s, e in wrapped]
+    free = _outside(wrapped)
     for m in runs:
-        if any(s <= m.start() < e for s, e in pems + wrapped):
+        if not free(m.start()):
             continue
         data = decode64(m[0])
         if data is None:

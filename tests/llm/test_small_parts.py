@@ -106,6 +106,33 @@ def test_coded_secrets_over_lines():
     assert kinds("internationalizations\n" * 20) == set()
 
 
+@pytest.mark.parametrize("width", [21, 22, 24, 75, 76])
+@pytest.mark.parametrize("before", ["", "internationalizations-and-other-words-of-many-letters-that-are-no-part-of-the-encoded-lines"])
+def test_wrapped_lines_against_every_start(width, before):
+    rng = np.random.default_rng(width)
+    texts = [b"HOST=example.org\npassword=hunter2hunter2\n" * 3, "é à ü password=hunter2hunter2 ç ".encode() * 4, rng.bytes(200), rng.bytes(57) + b"password=hunter2hunter2 and more of it" * 4]
+    for raw in texts:
+        code = base64.b64encode(raw).decode()
+        lines = ([before[:width]] if before else []) + [code[i : i + width] for i in range(0, len(code), width)]
+        text = "\n".join(lines)
+        want = []
+        for k in range(len(lines) - 1):  # as defined: the first line from which on all decode to a text with a secret
+            for n in dict.fromkeys((len(lines), len(lines) - (len(lines[-1]) < width))):
+                if n - k > 1 and (data := secrets.decode64("".join(lines[k:n]))) and secrets._hides_secret(data):
+                    want.append((len("\n".join([*lines[:k], ""])), len("\n".join(lines[:n]))))
+        runs = [m.span() for m in secrets._RUN64.finditer(text)]
+        assert secrets.wrapped_spans(text, runs)[:1] == sorted(want, key=lambda x: (-x[1], x[0]))[:1]
+
+
+def test_long_wrapped_base64_is_scanned_in_one_pass(monkeypatch):
+    body = base64.encodebytes(np.random.default_rng(1).bytes(1 << 20)).decode()
+    decoded = []
+    decode = secrets.decode64
+    monkeypatch.setattr(secrets, "decode64", lambda run: decoded.append(len(run)) or decode(run))
+    assert kinds(body) == set()
+    assert sum(decoded) < 4 * len(body)
+
+
 # ------------------------------------------------------------------ records
 
 
