@@ -95,7 +95,8 @@ def _mixed(docs: DataFrame, law, block: int) -> DataFrame:
     ws = [r["w"] for r in sources]
     period, at, js, slots = schedule(ws, [-(-r["c"] // block) for r in sources])
     common = math.gcd(*ws) or 1
-    rows = [(r["src"], r["w"] // common, slots[at == i].tolist()) for i, r in enumerate(sources)]
+    by_source = np.split(slots[np.argsort(at, kind="stable")], np.cumsum(np.bincount(at, minlength=len(sources)))[:-1])
+    rows = [(r["src"], r["w"] // common, own.tolist()) for r, own in zip(sources, by_source)]
     known = spark.createDataFrame(rows, "src string, n long, slots array<long>")
     table = saved(known.select("src", F.posexplode("slots").alias("j", "slot")), "slots")  # the slots of one period at most
     shares_of = known.select("src", "n")
