@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from ..operators import krylov
@@ -24,8 +24,6 @@ class Algorithm:
     options: dict = field(default_factory=dict, hash=False)
 
     def with_options(self, **kw) -> Algorithm:
-        from dataclasses import replace
-
         return replace(self, options={**self.options, **kw})
 
 
@@ -77,6 +75,22 @@ LEFT_ONLY = ("KrylovJL_CG", "KrylovJL_MINRES", "ConjugateGradientsJL_CG")
 BATCHED_KRYLOV = ("KrylovJL_GMRES", "KrylovJL_MINRES", "KrylovJL", "SimpleGMRES")
 
 
+# Arguments by which some names choose their method, with the family and kernel that serve it here.
+CHOICES = {
+    "HYPREAlgorithm": ("solver", {
+        "PCG": ("krylov", "cg"), "BiCGSTAB": ("krylov", "bicgstab"), "GMRES": ("krylov", "gmres"), "FlexGMRES": ("krylov", "fgmres"),
+        "Hybrid": ("krylov", "cg"), "ILU": ("krylov", "gmres"), "BoomerAMG": ("multigrid", "classical"),
+    }),
+    "PETScAlgorithm": ("solver_type", {
+        "gmres": ("krylov", "gmres"), "fgmres": ("krylov", "fgmres"), "cg": ("krylov", "cg"), "cr": ("krylov", "cr"), "minres": ("krylov", "minres"),
+        "symmlq": ("krylov", "symmlq"), "bcgs": ("krylov", "bicgstab"), "cgs": ("krylov", "cgs"), "lsqr": ("krylov", "lsqr"),
+    }),
+    "ElementalJL": ("method", {"LU": ("direct", "lu"), "QR": ("direct", "qr"), "LQ": ("direct", "min_norm"), "Cholesky": ("direct", "cholesky")}),
+}
+#: Preconditioners that come with a choice: ILU runs inside GMRES; Hybrid scales by the diagonal and takes multigrid where that doesn't converge.
+COMES_WITH = {"ILU": "ILU", "Hybrid": "jacobi"}
+
+
 def _registry() -> dict[str, Algorithm]:
     out: dict[str, Algorithm] = {}
     for kernel, names in _DIRECT.items():
@@ -111,6 +125,17 @@ def algorithm(name: str, **options) -> Algorithm:
         raise ValueError(f"no algorithm {name!r}; see algorithm_names()")
     found = ALGORITHMS[name]
     check_control(options.get("control", {}))
+    argument, served = CHOICES.get(name, (None, {}))
+    if argument in options:
+        choice = options[argument]
+        if choice not in served:
+            raise ValueError(f"{name} has no {argument} {choice!r}; it has {', '.join(served)}")
+        family, kernel = served[choice]
+        found = replace(found, family=family, kernel=kernel, needs_square=kernel not in ("qr", "min_norm", "lsqr"))
+        if choice in COMES_WITH:
+            options = {"pc_type": COMES_WITH[choice], **options}
+    if options.get("nullspace", "none") not in ("none", "constant", "custom") or options.get("nullspace") == "custom" and not options.get("nullspace_vecs"):
+        raise ValueError("nullspace is none, constant, or custom with nullspace_vecs")
     return found.with_options(**options) if options else found
 
 

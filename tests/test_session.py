@@ -5,7 +5,7 @@ from tessera.functions import factors
 from tessera.operators import eigen, krylov, precond
 from tessera.operators.diff import forward
 from tessera.plans import rules
-from tessera.plans.algorithms import ALGORITHMS, algorithm, algorithm_names, check_algorithm, check_control, generic_factorization, solve_function
+from tessera.plans.algorithms import ALGORITHMS, CHOICES, algorithm, algorithm_names, check_algorithm, check_control, generic_factorization, solve_function
 from tessera.plans.autotune import lu_flops
 from tessera.plans.problem import Assumptions, Condition, EigenProblem, EigenTarget, LinearProblem, RetCode, WarmStart, Zeros
 from tessera.plans.session import Session, solve
@@ -361,3 +361,95 @@ def test_adopted_choices(spark):
     finally:
         autotune.forget()
     assert Session(LinearProblem(a, b)).alg.name == "LUFactorization"
+
+
+@pytest.mark.parametrize("name, argument", [("HYPREAlgorithm", "solver"), ("PETScAlgorithm", "solver_type"), ("ElementalJL", "method")])
+def test_every_choice_of_method(name, argument):
+    a, b = positive(), RNG.standard_normal(30)
+    for choice in CHOICES[name][1]:
+        out = solve(LinearProblem(a, b), algorithm(name, **{argument: choice}))
+        assert out.ok, choice
+        assert np.allclose(a @ out.u, b, atol=1e-6), choice
+    with pytest.raises(ValueError):
+        algorithm(name, **{argument: "another"})
+
+
+def test_choices_of_other_shapes():
+    wide = RNG.standard_normal((5, 9))
+    u = solve(LinearProblem(wide, np.ones(5)), algorithm("ElementalJL", method="LQ")).u
+    assert np.allclose(u, np.linalg.pinv(wide) @ np.ones(5))
+    tall = wide.T
+    u = solve(LinearProblem(tall, np.arange(9.0)), algorithm("ElementalJL", method="QR")).u
+    assert np.allclose(u, np.linalg.lstsq(tall, np.arange(9.0), rcond=None)[0])
+    with pytest.raises(ValueError):
+        solve(LinearProblem(wide, np.ones(5)), algorithm("ElementalJL", method="Cholesky"))
+
+
+@pytest.mark.parametrize("name", [n for n in precond.NAMED if n not in ("none",)])
+def test_named_preconditioners_save_iterations(name):
+    n = 120
+    scale = np.geomspace(1, 30, n)
+    a, b = laplacian(n, 2.05) * np.sqrt(np.outer(scale, scale)), RNG.standard_normal(n)
+    plain = solve(LinearProblem(a, b), algorithm("HYPREAlgorithm", solver="PCG"), reltol=1e-9, maxiters=2000)
+    session = Session(LinearProblem(a, b), algorithm("HYPREAlgorithm", solver="PCG"), Pl=name, reltol=1e-9, maxiters=2000)
+    out = session.solve()
+    assert out.ok and np.allclose(a @ out.u, b, atol=1e-6)
+    assert out.iters < plain.iters
+    session.b = 2 * b
+    assert np.allclose(session.solve().u, 2 * out.u, atol=1e-6) and session.prec_builds == 1
+    session.A = a + np.eye(n)
+    assert session.solve().ok and session.prec_builds == 2
+    skew = a + 0.3 * (np.tril(a, -1) - np.triu(a, 1))  # flow in one direction; the diagonal still dominates
+    if name == "icc":
+        with pytest.raises(ValueError):
+            solve(LinearProblem(skew, b), algorithm("PETScAlgorithm", pc_type=name))
+        return
+    out = solve(LinearProblem(skew, b), algorithm("PETScAlgorithm", solver_type="gmres", pc_type=name), reltol=1e-9, restart=n)
+    assert out.ok and np.allclose(skew @ out.u, b, atol=1e-5)
+
+
+def test_named_preconditioners_refuse_and_take_another_matrix():
+    a, b = positive(), RNG.standard_normal(30)
+    with pytest.raises(ValueError):
+        solve(LinearProblem(a, b), "KrylovJL_CG", Pl="another")
+    out = solve(LinearProblem(a, b), algorithm("PETScAlgorithm", solver_type="cg", pc_type="lu", prec_matrix=a))
+    assert out.iters <= 2 and np.allclose(a @ out.u, b)
+
+
+def test_transposed_null_space_and_guess():
+    a, b = positive() + np.triu(RNG.standard_normal((30, 30)), 1) / 30, RNG.standard_normal(30)
+    out = solve(LinearProblem(a, b), algorithm("PETScAlgorithm", transposed=True, pc_type="ilu"))
+    assert np.allclose(a.T @ out.u, b, atol=1e-6)
+    exact = np.linalg.solve(a, b)
+    assert solve(LinearProblem(a, b, u0=exact), algorithm("PETScAlgorithm")).iters > 0
+    assert solve(LinearProblem(a, b, u0=exact), algorithm("PETScAlgorithm", initial_guess_nonzero=True)).iters == 0
+    ring = laplacian(20)
+    ring[0, -1] = ring[-1, 0] = -1
+    b = RNG.standard_normal(20)
+    b -= b.mean()
+    for own in ({"nullspace": "constant"}, {"nullspace": "custom", "nullspace_vecs": [np.ones(20)]}):
+        u = solve(LinearProblem(ring, b), algorithm("PETScAlgorithm", solver_type="cg", **own)).u
+        assert np.allclose(ring @ u, b, atol=1e-6) and abs(u.mean()) < 1e-9
+    for wrong in ({"nullspace": "custom"}, {"nullspace": "other"}):
+        with pytest.raises(ValueError):
+            algorithm("PETScAlgorithm", **wrong)
+
+
+def test_hybrid_turns_to_multigrid():
+    n = 200
+    a, b = laplacian(n), np.ones(n)
+    assert not solve(LinearProblem(a, b), algorithm("HYPREAlgorithm", solver="PCG"), maxiters=30).ok
+    session = Session(LinearProblem(a, b), algorithm("HYPREAlgorithm", solver="Hybrid"), maxiters=30)
+    out = session.solve()
+    assert out.ok and session.prec_builds == 2 and np.allclose(a @ out.u, b, atol=1e-4)
+
+
+@pytest.mark.parametrize("name", ["KrylovJL_GMRES", "KrylovJL_FGMRES", "SimpleGMRES"])
+def test_gmres_that_stalls_is_no_success(name):
+    ring = np.roll(np.eye(50), 1, axis=0)  # no cycle of 20 steps lowers the residual, though the system has a solution
+    b = np.eye(50)[0]
+    assert solve(LinearProblem(ring, b), name, maxiters=500).retcode is RetCode.CONVERGENCE_FAILURE
+    assert np.allclose(ring @ solve(LinearProblem(ring, b), name, maxiters=500, restart=50).u, b)
+    a = np.array([[1.0, 1.0], [1.0, 1.0]])
+    out = solve(LinearProblem(a, np.array([1.0, 3.0])), name, maxiters=50)  # least squares
+    assert out.retcode is (RetCode.INFEASIBLE if name == "SimpleGMRES" else RetCode.SUCCESS) and np.allclose(a @ out.u, 2)
