@@ -1,6 +1,7 @@
 """Operators over tables that no query covers, and edge cases."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.operators import algebra, batched, native, reduction, tall
@@ -135,3 +136,29 @@ def test_stream_of_right_hand_sides(spark, tmp_path):
     q.awaitTermination(60)
     for r in spark.read.parquet(str(tmp_path / "out")).collect():
         assert np.allclose(np.array([[2.0, 1], [1, 3]]) @ r["u"], [r["id"], 1.0])
+
+
+def chain(spark, n: int) -> tuple[Coo, np.ndarray, np.ndarray]:
+    """4 and -1 on three diagonals, more rows than dense methods take, with a right-hand side and its solution."""
+    k = np.arange(n)
+    i, j = np.concatenate([k, k[1:], k[:-1]]), np.concatenate([k, k[:-1], k[1:]])
+    v = np.where(i == j, 4.0, -1.0)
+    u = np.sin(k) + 1
+    b = 4 * u
+    b[1:] -= u[:-1]
+    b[:-1] -= u[1:]
+    return Coo(spark.createDataFrame(pa.table({"i": i, "j": j, "v": v})), (n, n)), b, u
+
+
+@pytest.mark.parametrize("name", ["AlgebraicMultigridJL", "PyAMG_RugeStuben"])
+def test_multigrid_of_more_rows_than_dense_methods_take(spark, name):
+    a, b, u = chain(spark, 6_000)
+    s = solve(LinearProblem(a, b), name, abstol=1e-12, reltol=1e-12)
+    assert s.ok and s.iters < 40
+    assert np.allclose(s.u, u, atol=1e-9)
+
+
+def test_multigrid_that_cannot_coarsen(spark):
+    n = 6_000
+    a = Coo(spark.range(n).selectExpr("id as i", "id as j", "double(1 + id % 5) as v"), (n, n))
+    assert np.allclose(solve(LinearProblem(a, np.ones(n)), "AlgebraicMultigridJL").u, 1 / (1 + np.arange(n) % 5))
