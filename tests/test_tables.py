@@ -162,3 +162,14 @@ def test_multigrid_that_cannot_coarsen(spark):
     n = 6_000
     a = Coo(spark.range(n).selectExpr("id as i", "id as j", "double(1 + id % 5) as v"), (n, n))
     assert np.allclose(solve(LinearProblem(a, np.ones(n)), "AlgebraicMultigridJL").u, 1 / (1 + np.arange(n) % 5))
+
+
+def test_ldlt_of_more_rows_than_dense_methods_take(spark):
+    a, b, u = chain(spark, 6_000)
+    both = Coo(a.df.selectExpr("i", "j", "v / 2 as v").union(a.df.selectExpr("i", "j", "v / 2 as v")).union(spark.createDataFrame([(0, 9, 1.0), (0, 9, -1.0)], "i long, j long, v double")), a.shape)  # repeated entries add up
+    s = solve(LinearProblem(both, b), "LDLtFactorization", residual_safety=True, refine=1)
+    assert s.ok
+    assert np.allclose(s.u, u, atol=1e-12)
+    for extra in ((0, 9), (1, 2)):
+        off = Coo(a.df.union(spark.createDataFrame([(*extra, 1.0)], "i long, j long, v double")), a.shape)
+        assert not solve(LinearProblem(off, b), "LDLtFactorization").ok
