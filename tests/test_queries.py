@@ -31,6 +31,16 @@ def test_query(spark, con, small_tables, name):
         assert tidy(df.columns, rows) == tidy([c[0] for c in found.description], found.fetchall())
 
 
+def test_mixed_precision_rounds_halves_as_its_sql(spark, tmp_path):
+    """125.5 exactly, which single precision takes for 125.49999."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT 736::BIGINT AS s_suppkey, 4218.2::DOUBLE AS s_acctbal) TO '{tmp_path}/supplier.parquet'")
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    df = QUERIES["mixed_precision_lu"](spark, str(tmp_path))
+    found = con.execute(SQL["mixed_precision_lu"])
+    assert tidy(df.columns, [tuple(r) for r in df.collect()]) == tidy([c[0] for c in found.description], found.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
