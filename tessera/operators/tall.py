@@ -13,14 +13,27 @@ from ..plans.problem import RetCode
 DEPENDENT = 1e-13
 
 
+def joined(blocks, p: int) -> np.ndarray:
+    """The triangular factor of blocks of rows. Factors of equally many blocks are joined, as in a binary
+    counter: rounding grows with the logarithm of their number, where one factor after another would lose digits."""
+    held: list[tuple[int, np.ndarray]] = []
+    for a in blocks:
+        level, r = 0, np.linalg.qr(a, mode="r")
+        while held and held[-1][0] == level:
+            level, r = level + 1, np.linalg.qr(np.vstack([held.pop()[1], r]), mode="r")
+        held.append((level, r))
+    r = np.zeros((0, p))
+    while held:
+        r = np.linalg.qr(np.vstack([held.pop()[1], r]), mode="r")
+    return r
+
+
 def tall_r(table: DataFrame, columns: list[Column]) -> np.ndarray:
     """The triangular factor of all rows. A task sends one factor; beyond 256 tasks they are joined in a further stage."""
     p = len(columns)
 
     def stacked(blocks):
-        r = np.zeros((0, p))
-        for a in blocks:
-            r = np.linalg.qr(np.vstack([r, a]), mode="r")
+        r = joined(blocks, p)
         if len(r):
             yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(r).tobytes()], pa.binary())], ["r"])
 
@@ -34,10 +47,7 @@ def tall_r(table: DataFrame, columns: list[Column]) -> np.ndarray:
     n = parts.rdd.getNumPartitions()
     if n > 256:
         parts = parts.repartition(64).mapInArrow(factors, "r binary")
-    r = np.zeros((0, p))
-    for one in parts.toArrow()["r"].to_pylist():  # 256 factors at most, from one job
-        r = np.linalg.qr(np.vstack([r, np.frombuffer(one).reshape(-1, p)]), mode="r")
-    return r
+    return joined((np.frombuffer(x).reshape(-1, p) for x in parts.toArrow()["r"].to_pylist()), p)  # 256 factors at most, from one job
 
 
 def tall_least_squares(table: DataFrame, features: list[Column], target: Column, kernel: str = "qr") -> tuple[np.ndarray, RetCode]:

@@ -173,3 +173,14 @@ def test_ldlt_of_more_rows_than_dense_methods_take(spark):
     for extra in ((0, 9), (1, 2)):
         off = Coo(a.df.union(spark.createDataFrame([(*extra, 1.0)], "i long, j long, v double")), a.shape)
         assert not solve(LinearProblem(off, b), "LDLtFactorization").ok
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 777])
+def test_a_column_twice_over_many_blocks(blocks):
+    """The second pivot stays at rounding, however many blocks of rows there are."""
+    rng = np.random.default_rng(5)
+    x = (rng.integers(1, 51, (blocks, 5_000)) - 25.5) / 10
+    made = tall.joined((np.column_stack([r, r]) for r in x), 2)
+    assert abs(made[1, 1]) < tall.DEPENDENT / 5 * abs(made[0, 0])
+    assert np.isclose(abs(made[0, 0]), np.linalg.norm(x))
+    assert tall.joined(iter([]), 2).shape == (0, 2)
