@@ -169,16 +169,17 @@ _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _spread(tokens: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the rows that agree on AGREE tokens. Rows once reached are compared no more, so a
+    """A spanning forest of the rows that agree on AGREE tokens, directly or not, each tree a star around its first row, so
+    that one group's links are the same in all runs. Rows once reached are compared no more, so a
     group of near copies costs one comparison for each row."""
     left, out = np.arange(len(tokens)), []
     while len(left) > 1:
-        todo, left = [int(left[0])], left[1:]
+        first, todo, left = int(left[0]), [int(left[0])], left[1:]
         while todo and len(left):
             x = todo.pop()
             near = (tokens[left] == tokens[x]).sum(axis=1) >= AGREE
             found, left = left[near], left[~near]
-            out += [(x, int(y)) for y in found]
+            out += [(first, int(y)) for y in found]
             todo += found.tolist()
     return out
 
@@ -210,7 +211,7 @@ def _blocks(df: DataFrame, n_blocks) -> DataFrame:
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
-    """Links (a, b) of sets that agree on AGREE tokens, from the buckets of all runs."""
+    """Links (a, b), which may repeat, of sets that agree on AGREE tokens, directly or not, from the buckets of all runs."""
     token = lambda place: F.expr(f"substring(tokens, {4 * place + 1}, 4)")
     runs = sets.select("k", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), *[token(p).alias(f"t{d}") for d, p in enumerate(places)]) for r, places in enumerate(_PLACES)])).alias("x")).select("k", "x.*")
     level = runs.withColumn("bucket", F.xxhash64("r", "t0"))
@@ -218,6 +219,8 @@ def _candidates(sets: DataFrame) -> DataFrame:
     for d in range(DEPTH):
         sizes = level.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
         level = level.join(sizes, "bucket")
+        if d < DEPTH - 1:
+            level = saved(level, "level")  # read by the buckets that are done, by the next split's sizes and by its rows
         done = level if d == DEPTH - 1 else level.where(F.col("c") <= SMALL)
         done = done.select("bucket", "c", "k")
         found = done if found is None else found.unionByName(done)
@@ -227,7 +230,7 @@ def _candidates(sets: DataFrame) -> DataFrame:
     bytes_of = F.concat(*[F.expr(f"substring(tokens, {4 * i + 1}, 1)") for i in range(POSITIONS)])
     rows = found.join(sets.select("k", bytes_of.alias("t")), "k").select("bucket", "i", "j", "k", "t")
     rows = rows.repartition(tasks(sets.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "k")
-    return rows.mapInArrow(_compare, "a binary, b binary").distinct()
+    return rows.mapInArrow(_compare, "a binary, b binary")
 
 
 _EXACT = pa.schema([("k", pa.binary()), ("links", pa.int64()), ("b", pa.binary())])

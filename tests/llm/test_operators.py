@@ -569,3 +569,15 @@ def test_stages_keep_the_columns(spark, small_tables):
         assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), small_tables).count() == 0, name
     assert corpus_pipeline.sharding(spark, docs.limit(0), small_tables).count() == 0
+
+
+def test_components_that_are_stars_need_no_round(spark, monkeypatch):
+    from tessera.llm import graph
+
+    tags, keep = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, tag: tags.append(tag) or keep(df, tag))
+    stars = spark.createDataFrame([(1, 4), (1, 3), (3, 1), (2, 7), (9, 9)], "a long, b long")
+    assert {tuple(r) for r in graph.components(stars).collect()} == {(1, 1), (3, 1), (4, 1), (2, 2), (7, 2), (9, 9)}
+    assert tags == ["links", "least"]
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(50, 52), (51, 52), (50, 52)], "a long, b long")
+    assert {tuple(r) for r in graph.components(path).collect()} == {(k, 0) for k in range(41)} | {(k, 50) for k in (50, 51, 52)}

@@ -329,3 +329,11 @@ def test_crc_law():
     data = b"abc"
     c = zlib.crc32(data)
     assert records.masked(data) == (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
+
+
+def test_links_of_a_bucket_are_stars():
+    tokens = np.zeros((6, jaccard.POSITIONS), np.uint8)
+    for k, much in enumerate((0, 20, 40, 60, 80, 0)):
+        tokens[k, :much] = 1
+    tokens[5] = 9
+    assert sorted(jaccard._spread(tokens)) == [(0, 1), (0, 2), (0, 3), (0, 4)]
